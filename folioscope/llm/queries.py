@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP9_SQL, op9_chat_format
 from .sharding import op8_sharding
+from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_sharding, op9_chat_format]
+    found = [op8_sharding, op9_chat_format, op10_simhash]
     return {f.__name__: f for f in found}
 
 
