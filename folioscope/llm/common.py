@@ -175,3 +175,29 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.concatenate(([True], start[1:] > reach[:-1]))
     last = np.concatenate((first[1:], [True]))
     return start[first], reach[last]
+
+
+def word_table(data: np.ndarray, at: np.ndarray, inside: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of the texts: runs of bytes whose folded value is ``inside``.
+
+    Works through the bytes piece by piece, cut between words, so that a long text takes no wide arrays.
+    """
+    starts, ends, hashes = [], [], []
+    i, n = 0, len(data)
+    while i < n:
+        j = min(n, i + BLOCK_BYTES)
+        while j < n and j not in at:  # to a byte outside any word
+            gap = np.flatnonzero(~inside[fold[data[j : j + 4096]]])
+            if len(gap):
+                j += int(gap[0])
+                break
+            j = min(n, j + 4096)
+        part = fold[data[i:j]]
+        edge = at[np.searchsorted(at, i, "left") : np.searchsorted(at, j, "right")] - i
+        s, e = spans(inside[part], edge)
+        hashes.append(span_hashes(prefix_sums(part), s, e))
+        starts.append(s + i)
+        ends.append(e + i)
+        i = j
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate([np.zeros(0, np.uint64), *hashes])

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP9_SQL, op9_chat_format
+from .decontaminate import OP4_SQL, op4_decontaminate
 from .sharding import op8_sharding
 from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_sharding, op9_chat_format, op10_simhash]
+    found = [op4_decontaminate, op8_sharding, op9_chat_format, op10_simhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op9_chat_format": OP9_SQL}
