@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .langid import op6_langid
+from .pieces import op5_sentencepiece
 from .sharding import op8_sharding
 from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_decontaminate, op8_sharding, op9_chat_format, op10_simhash]
+    found = [op4_decontaminate, op5_sentencepiece, op6_langid, op8_sharding, op9_chat_format, op10_simhash]
     return {f.__name__: f for f in found}
 
 
