@@ -5,6 +5,7 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -201,3 +202,9 @@ def word_table(data: np.ndarray, at: np.ndarray, inside: np.ndarray, fold: np.nd
         i = j
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *starts]), np.concatenate([none, *ends]), np.concatenate([np.zeros(0, np.uint64), *hashes])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
