@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import OP4_SQL, op4_decontaminate
+from .html import op7_html_extract
 from .langid import op6_langid
 from .pieces import op5_sentencepiece
 from .sharding import op8_sharding
@@ -18,7 +19,7 @@ from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op4_decontaminate, op5_sentencepiece, op6_langid, op8_sharding, op9_chat_format, op10_simhash]
+    found = [op1_suffix_dedup, op4_decontaminate, op5_sentencepiece, op6_langid, op7_html_extract, op8_sharding, op9_chat_format, op10_simhash]
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
 
