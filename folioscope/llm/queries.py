@@ -13,6 +13,7 @@ from .decontaminate import OP4_SQL, op4_decontaminate
 from .html import op7_html_extract
 from .langid import op6_langid
 from .lm import op3_lm_score
+from .media import op2_media
 from .pieces import op5_sentencepiece
 from .sharding import op8_sharding
 from .simhash import op10_simhash
@@ -20,7 +21,7 @@ from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op3_lm_score, op4_decontaminate, op5_sentencepiece, op6_langid, op7_html_extract, op8_sharding, op9_chat_format, op10_simhash]
+    found = [op1_suffix_dedup, op2_media, op3_lm_score, op4_decontaminate, op5_sentencepiece, op6_langid, op7_html_extract, op8_sharding, op9_chat_format, op10_simhash]
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in found}
 
 
