@@ -1 +1 @@
-"""folioscope.functions"""
+"""Column functions: text, measures, addresses."""

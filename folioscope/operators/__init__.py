@@ -1 +1 @@
-"""folioscope.operators"""
+"""Operators from DataFrames to DataFrames."""

@@ -1,9 +1,14 @@
 """Registered queries over the driver's tables, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import join_queries, ordered_queries, rule_queries, text_queries, time_queries  # noqa: F401
+from .registry import QUERIES, SQL
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1 +1 @@
-"""folioscope.streaming"""
+"""Streaming twins of the time operators."""
