@@ -69,5 +69,5 @@ def ancestor(path: str, tag: str):
 
 def forward_parents(elements: DataFrame) -> DataFrame:
     """Elements (id, parent, ord) whose parent isn't an earlier element."""
-    p = elements.select(F.col("id").alias("parent"), F.col("ord").alias("__parent_ord"))
+    p = elements.groupBy(F.col("id").alias("parent")).agg(F.min("ord").alias("__parent_ord"))
     return elements.join(p, "parent", "left").where("parent is not null and (__parent_ord is null or __parent_ord >= ord)").drop("__parent_ord")

@@ -29,14 +29,14 @@ def violations(left: DataFrame, right: DataFrame, keys: Sequence[str], code: str
     return gone.select(F.lit(code).alias("code"), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]).alias("subject"))
 
 
-def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], equal_counts: bool = False) -> DataFrame:
+def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], equal_counts: bool = False, rank: str = "k") -> DataFrame:
     """k-th left row with k-th right row of each key. Surplus is left out; with ``equal_counts`` so is a key whose sides differ in number."""
 
     def ranked(df: DataFrame, order: Sequence[str], side: str) -> DataFrame:
         w = Window.partitionBy(*keys)
-        return df.withColumn("k", F.row_number().over(w.orderBy(*order))).withColumn(f"__n_{side}", F.count(F.lit(1)).over(w))
+        return df.withColumn(rank, F.row_number().over(w.orderBy(*order))).withColumn(f"__n_{side}", F.count(F.lit(1)).over(w))
 
-    both = ranked(left, left_order, "l").join(ranked(right, right_order, "r"), [*keys, "k"])
+    both = ranked(left, left_order, "l").join(ranked(right, right_order, "r"), [*keys, rank])
     return (both.where("__n_l = __n_r") if equal_counts else both).drop("__n_l", "__n_r")
 
 

@@ -68,4 +68,4 @@ def plan_problems(requests: DataFrame) -> DataFrame:
         ("index_out_of_range", "error", (F.col("kind") == "insert") & ((F.col("start") < 0) | (F.col("start") > F.col("__long")))),
         ("range_out_of_text", "error", F.col("kind").isin("delete", "style") & ~((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("__long")))),
     ]
-    return findings(df, ["page", F.col("seq").alias("at")], rules).select("page", F.col("at").alias("seq"), "code")
+    return findings(df.withColumn("at", F.col("seq")), ["page", "at"], rules).select("page", F.col("at").alias("seq"), "code")

@@ -1 +1 @@
-"""folioscope.sources"""
+"""Readers and writers of packages, bundles and stored files."""
