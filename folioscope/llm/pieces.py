@@ -25,11 +25,13 @@ from .common import blocks, prefix_sums, read, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share a suffix array.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Characters of a unit that all advance in one table; longer units go through a heap.
 LONG_UNIT = 96
 #: Cells of a table of units.
-CELLS = 1 << 22
+CELLS = 1 << 20
+#: Edges that are placed at a time.
+EDGES_AT_ONCE = 1 << 20
 SPACE = 0x20
 
 
@@ -106,8 +108,8 @@ def suffix_order(data: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
         step *= 2
 
 
-def occurrences(data: np.ndarray, texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, position) of every occurrence of every text, by binary search in the suffix order."""
+def occurrences(data: np.ndarray, texts: list[bytes], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text index, position) of every occurrence of every text, by binary search in the suffix order; some at a time."""
     first = words8(data)
     order = suffix_order(data, first, longest)
     n, m, wide = len(data), len(texts), -(-longest // 8)
@@ -137,9 +139,12 @@ def occurrences(data: np.ndarray, texts: list[bytes], longest: int) -> tuple[np.
 
     low, high = bound(False), bound(True)
     count = high - low
-    which = np.repeat(np.arange(m), count)
-    rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(which))
-    return which, order[rows]
+    cuts = np.flatnonzero(np.diff(np.cumsum(count) // EDGES_AT_ONCE)) + 1
+    for part in np.split(np.arange(m), cuts):
+        n_each = count[part]
+        which = np.repeat(part, n_each)
+        rows = np.repeat(low[part] - (np.cumsum(n_each) - n_each), n_each) + np.arange(len(which))
+        yield which, order[rows]
 
 
 def _heap_units(start: int, n: int, table: np.ndarray, order: np.ndarray, after: np.ndarray) -> None:
@@ -213,16 +218,15 @@ def encode_units(data: np.ndarray, at: np.ndarray, pieces: Pieces) -> tuple[np.n
     gapped = np.full(len(data) + n, 0xFF, np.uint8)  # a byte that no piece has, behind each unit
     spot = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))
     gapped[spot] = data
-    which, place = occurrences(gapped, pieces.texts, pieces.longest)
     lead = (gapped & 0xC0) != 0x80
     lead_sum = np.concatenate(([0], np.cumsum(lead)))  # characters before each byte, the gaps counting as one
     chars = int(lead_sum[-1])
     size = np.array([len(t) for t in pieces.texts])
-    start_char, end_char = lead_sum[place], lead_sum[place + size[which]]
-    whole = lead[place]
-    width = int((end_char - start_char).max(initial=1))
+    width = max((len(t.decode()) for t in pieces.texts), default=1)
     table = np.full((chars, width), len(pieces.order) - 1, np.int32)
-    table[start_char[whole], (end_char - start_char)[whole] - 1] = pieces.ids[which[whole]]
+    for which, place in occurrences(gapped, pieces.texts, pieces.longest):
+        start_char = lead_sum[place]
+        table[start_char, lead_sum[place + size[which]] - start_char - 1] = pieces.ids[which]
     unit_start = lead_sum[at[:-1] + np.arange(n)]
     unit_size = lead_sum[at[1:] + np.arange(n)] - unit_start
     after = np.zeros(chars + 1, np.int64)
