@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -206,5 +207,7 @@ def word_table(data: np.ndarray, at: np.ndarray, inside: np.ndarray, fold: np.nd
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -29,16 +29,16 @@ from .common import blocks, prefix_sums, read, release, span_hashes, stored
 #: Bytes of the sampled strings; at most ``length``.
 GRAM = 20
 #: Bytes of text for each bucket of ranks, and for each group of texts.
-BUCKET_BYTES, GROUP_BYTES = 32 << 20, 16 << 20
+BUCKET_BYTES, GROUP_BYTES = 16 << 20, 16 << 20
 #: Bytes of text whose positions leave together, and whose hashes are computed together.
-BATCH_BYTES, TILE_BYTES = 32 << 20, 1 << 21
+BATCH_BYTES, TILE_BYTES = 16 << 20, 1 << 21
 _TOP48 = np.uint64(0xFFFF_FFFF_FFFF_0000)
 
 
 def pack(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed string, byte planes apart."""
     head = ";".join(f"{k}:{v.dtype.str}:{len(v)}" for k, v in arrays.items()).encode()
-    body = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes() for v in arrays.values())
+    body = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() for v in arrays.values())
     return head + b"\n" + zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -100,14 +100,22 @@ def least_by(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Columns of a text, which its positions share.
+TEXT_COLUMNS = ("id", "row", "group")
+
+
 def dealt(part: np.ndarray, **arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A packed string of the rows of each part."""
     order = np.argsort(part, kind="stable")
     ordered = part[order]
     edges = np.append(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(part) else [], len(part)).astype(np.int64)
+    text_of = [k for k in TEXT_COLUMNS if k in arrays]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = order[a:b]
-        yield int(ordered[a]), pack(**{k: v[own] for k, v in arrays.items()})
+        # What a text has in common stands once.
+        _, first, place = np.unique(arrays["row"][own], return_index=True, return_inverse=True)
+        table = {k: arrays[k][own[first]] for k in text_of}
+        yield int(ordered[a]), pack(**table, place=place.astype(np.uint32), **{k: v[own] for k, v in arrays.items() if k not in table})
 
 
 def rows_of(parts: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +125,11 @@ def rows_of(parts: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 def joined(blobs: list[bytes]) -> dict[str, np.ndarray]:
     """The packed strings' arrays, end to end."""
-    found = [unpack(x) for x in blobs]
+    found = []
+    for blob in blobs:
+        x = unpack(blob)
+        place = x.pop("place")
+        found.append({k: v[place] if k in TEXT_COLUMNS else v for k, v in x.items()})
     return {k: np.concatenate([x[k] for x in found]) for k in found[0]} if found else {}
 
 
@@ -167,7 +179,7 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several[order] = np.repeat((np.minimum.reduceat(key_o, edge) != np.maximum.reduceat(key_o, edge)) & (np.minimum.reduceat(id_o, edge) != np.maximum.reduceat(id_o, edge)), size)
     go_on = several & ~remove
     keep = remove | go_on
-    yield from rows_of(dealt(x["group"][keep], id=x["id"][keep], row=x["row"][keep], first=x["first"][keep], count=x["count"][keep], open=go_on[keep].astype(np.uint8)))
+    yield from rows_of(dealt(x["group"][keep], row=x["row"][keep], id=x["id"][keep], first=x["first"][keep], count=x["count"][keep], open=go_on[keep].astype(np.uint8)))
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
