@@ -203,9 +203,10 @@ def link_forest(distinct: DataFrame, limit: int = 2, blocks: int | None = None)
     choices = block_choices(limit, blocks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         which, fps = table["choice"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
         for k in np.unique(which):
             own = fps[which == k]
