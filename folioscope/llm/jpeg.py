@@ -9,7 +9,9 @@ successive approximation; images without restart markers decode too, as one inte
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -197,6 +199,7 @@ def _segment(marker: int, body: bytes) -> bytes:
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1)] + [((c,), a, b, 0, 1) for c in range(3) for a, b in ((1, 5), (6, 63))] + [((0, 1, 2), 0, 0, 1, 0)] + [((c,), 1, 63, 1, 0) for c in range(3)]
 
 
+@lru_cache(512)
 def mcu_places(across: int, down: int) -> np.ndarray:
     """Block of each place of each MCU, all components end to end: four of luma, one of each chroma."""
     y, x = np.divmod(np.arange(across * down), across)
@@ -286,6 +289,10 @@ class Image:
     mcus: tuple[int, int] = (0, 0)
 
 
+#: A marker that ends entropy-coded data: neither a stuffed byte nor a restart.
+_NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
+
+
 def parse(source: bytes) -> Image:
     """Headers and scans of a progressive JPEG."""
     if source[:2] != b"\xff\xd8":
@@ -333,15 +340,8 @@ def parse(source: bytes) -> Image:
             chosen = tuple(next(k for k, c in enumerate(image.components) if c.ident == body[1 + 2 * j]) for j in range(n))
             first, last, bits = body[1 + 2 * n : 4 + 2 * n]
             own = tuple(tables.get(body[2 + 2 * j] >> 4 if first == 0 else 16 | body[2 + 2 * j] & 15, b"") for j in range(n))
-            end = at
-            while True:
-                end = source.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(source):
-                    end = len(source)
-                    break
-                if source[end + 1] != 0 and not 0xD0 <= source[end + 1] <= 0xD7:
-                    break
-                end += 2
+            after = _NEXT_MARKER.search(source, at)
+            end = after.start() if after else len(source)
             image.scans.append(Scan(chosen, first, last, bits >> 4, bits & 15, restart, own, source[at:end]))
             at = end
     return image
@@ -400,12 +400,24 @@ def _scan_blocks(image: Image, scan: Scan) -> tuple[np.ndarray, int]:
     """Blocks of a scan in the order of its data, and how many make up an MCU."""
     if len(scan.components) == 1:
         c = image.components[scan.components[0]]
-        y, x = np.divmod(np.arange(c.across * c.down), c.across)
-        return c.base + y * c.padded + x, 1
-    y, x = np.divmod(np.arange(image.mcus[0] * image.mcus[1]), image.mcus[0])
+        return c.base + _single_places(c.across, c.down, c.padded), 1
     own = [image.components[k] for k in scan.components]
-    parts = [c.base + (y * c.v + j) * c.padded + x * c.h + i for c in own for j in range(c.v) for i in range(c.h)]
-    return np.stack(parts, axis=1).ravel(), len(parts)
+    places, component = _mcu_scan(*image.mcus, tuple((c.h, c.v, c.padded) for c in own))
+    return places + np.array([c.base for c in own])[component], len(component) // max(1, image.mcus[0] * image.mcus[1])
+
+
+@lru_cache(512)
+def _single_places(across: int, down: int, padded: int) -> np.ndarray:
+    y, x = np.divmod(np.arange(across * down), across)
+    return y * padded + x
+
+
+@lru_cache(512)
+def _mcu_scan(across: int, down: int, shapes: tuple[tuple[int, int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks in their components, MCU by MCU, and the component of each."""
+    y, x = np.divmod(np.arange(across * down), across)
+    parts = [((y * v + j) * padded + x * h + i, k) for k, (h, v, padded) in enumerate(shapes) for j in range(v) for i in range(h)]
+    return np.stack([p for p, _ in parts], axis=1).ravel(), np.tile([k for _, k in parts], across * down)
 
 
 def _decode_dc(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, count: np.ndarray, slots: np.ndarray, slot_component: np.ndarray, coefficients: np.ndarray) -> None:
