@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Bytes of html in a group, on average.
 GROUP_BYTES = 4 << 20
+#: A host is cut into groups if it has over a part in so many of all bytes, and over a group's.
+LARGE_HOSTS = 100_000
 #: Tokens that a repeated string has at least, and distinct pages that it stands in.
 LEAST_TOKENS, LEAST_PAGES = 4, 3
 
@@ -102,6 +104,8 @@ def page_blocks(source: str | None) -> list[tuple[str, bool, bool]]:
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])
+        if closing and all(n != name for n, _ in stack):
+            continue
         if name in BLOCKS or name in SKIPPED:
             flush()
         if closing:
@@ -216,9 +220,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", so
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     kind = dict(pages.dtypes)[id_col]
     source_rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host.alias("host"))
-    sizes = source_rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("n"))
-    parts = sizes.select("host", F.greatest(F.ceil(F.col("n") / F.lit(group_bytes)), F.lit(1)).cast("int").alias("parts"))
-    dealt = source_rows.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("id", "url", "html"), F.col("parts")))
+    sizes = cut(source_rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # Hosts over their share of the bytes: fewer than LARGE_HOSTS, whatever the table, so their list may be broadcast.
+    large = sizes.where(F.col("n") > max(group_bytes, total // LARGE_HOSTS)).select("host", F.ceil(F.col("n") / F.lit(group_bytes)).cast("int").alias("parts"))
+    dealt = source_rows.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("parts", F.lit(1))))
 
     def work(table: pa.Table) -> pa.Table:
         texts = main_texts(table["html"].to_pylist())
