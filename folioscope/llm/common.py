@@ -211,3 +211,14 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """Whole numbers that repartition(n, key) deals to n different partitions, one each: buckets then neither meet nor leave gaps."""
+    most = n * (int(np.log(n + 1)) + 4)
+    while True:
+        own = F.col("id").cast("int")
+        found = spark.range(most).groupBy(F.pmod(F.hash(own), F.lit(n)).alias("p")).agg(F.min(own).alias("k")).collect()
+        if len(found) == n:
+            return np.array([r.k for r in sorted(found, key=lambda r: r.p)], np.int32)
+        most *= 2

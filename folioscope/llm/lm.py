@@ -6,8 +6,9 @@ every symbol's vector in one matrix product, which also normalises. A word of a
 its add-one share of the class. Every task trains on all its training texts from the same start; the parameters are
 averaged, weighted by tokens.
 
-Counts cover the whole corpus. A batch sends each bucket of words their counts and postings as compressed arrays; the
-bucket adds up the counts and gives every text its sum over the bucket's words, so no dictionary is ever held whole.
+Counts cover the whole corpus. Texts are dealt into groups of bounded size; a group sends each bucket of words its
+distinct ones with their counts, as compressed arrays, and gets their sums over all groups back in the same order. No
+dictionary is ever held whole, and what is sent grows as the groups' distinct words.
 """
 
 from __future__ import annotations
@@ -20,19 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, blocks, crc32_of, owners, read, release, stored, tasks, word_table
-from .suffix_dedup import pack, unpack
+from .common import LOWER, SPACES, blocks, crc32_of, even_keys, owners, read, release, stored, tasks, word_table
+from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
 #: Words with a symbol of their own, classes of the others, length of a vector, symbols that the next is predicted from.
-WORDS, CLASSES, DIMENSIONS, CONTEXT = 384, 127, 24, 3
+WORDS, CLASSES, DIMENSIONS, CONTEXT = 384, 127, 24, 2
 #: Noise symbols drawn for each step of so many tokens.
-NOISE, STEP = 48, 4096
-#: Bytes of text for each bucket of words, and whose tokens are handled together.
-BUCKET_BYTES, BATCH_BYTES = 32 << 20, 8 << 20
+NOISE, STEP = 32, 8192
+#: Bytes of text for each bucket of words and for each group of texts, and whose tokens are handled together.
+BUCKET_BYTES, GROUP_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 2 << 20
 #: Contexts whose predictions are computed together.
 CONTEXTS_AT_ONCE = 4096
-#: Stands for the end of a text among the hashes of words.
-END_HASH = np.uint64(0xE0D0_0F00_7E47_0001)
 SEED = 11
 
 
@@ -47,74 +46,95 @@ def word_class(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return ((((last << np.uint64(8)) | before) * np.uint64(2654435761) >> np.uint64(13)) % np.uint64(CLASSES)).astype(np.int64)
 
 
-def _counts(buckets: int):
-    """Rows (row, held, text) to packed counts and postings by bucket of the word's hash."""
+def text_blocks(texts: pa.Table) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets): a group's texts, some at a time."""
+    ids: list[int | None] = []
+    own: list[bytes] = []
+    size = 0
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, "text", 2 * BATCH_BYTES):
-            start, end, hashes = word_table(data, at, ~SPACES)
-            text, n = owners(start, at), rows.num_rows
-            kind = word_class(data, start, end).astype(np.uint8)
-            hashes = np.concatenate((hashes, np.full(n, END_HASH)))
-            text = np.concatenate((text, np.arange(n)))
-            kind = np.concatenate((kind, np.full(n, CLASSES, np.uint8)))
-            trained = ~rows.column(1).to_numpy(zero_copy_only=False)
-            words, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-            pairs, times = np.unique(of * n + text, return_counts=True)
-            of, text = pairs // n, pairs % n
-            learnt = np.bincount(of, times * trained[text], minlength=len(words)).astype(np.int64)
-            bucket = (words % np.uint64(buckets)).astype(np.int64)
-            row = rows.column(0).to_numpy()
-            # Bucket by bucket: words, and behind them the postings in the same order.
-            order = np.argsort(bucket[of], kind="stable")
-            edge = np.searchsorted(bucket[of][order], np.arange(buckets + 1))
-            by_word = np.argsort(bucket, kind="stable")
-            word_edge = np.searchsorted(bucket[by_word], np.arange(buckets + 1))
-            n_postings = np.bincount(of, minlength=len(words))
-            for b in range(buckets):
-                own, post = by_word[word_edge[b] : word_edge[b + 1]], order[edge[b] : edge[b + 1]]
-                if len(own):
-                    used, place = np.unique(text[post], return_inverse=True)
-                    blob = pack(hash=words[own], learnt=learnt[own].astype(np.uint32), kind=kind[first[own]], postings=n_postings[own].astype(np.uint32), text=place.astype(np.uint32), times=times[post].astype(np.uint32), row=row[used])
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["part", "data"])
+    def made() -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        return list(ids), np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in own]))).astype(np.int64)
+
+    for i, _, text in texts_of(texts):
+        if own and size + len(text) > BATCH_BYTES:
+            yield made()
+            ids, own, size = [], [], 0
+        ids.append(i)
+        own.append(text)
+        size += len(text)
+    if own:
+        yield made()
+
+
+def group_words(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, sorted, counts and classes of the distinct words of a group's texts."""
+    words, counts, kinds = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    for _, data, at in text_blocks(texts):
+        start, end, hashes = word_table(data, at, ~SPACES)
+        own, first, n = np.unique(hashes, return_index=True, return_counts=True)
+        kind = word_class(data, start[first], end[first]).astype(np.uint8)
+        words, first, of = np.unique(np.concatenate((words, own)), return_index=True, return_inverse=True)
+        counts = np.bincount(of, np.concatenate((counts, n)), minlength=len(words)).astype(np.int64)
+        kinds = np.concatenate((kinds, kind))[first]
+    return words, counts, kinds
+
+
+def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _counted(keys: np.ndarray):
+    """A group's texts to its words and their training counts, packed by bucket. Groups with an odd number are held out."""
+
+    def work(texts: pa.Table) -> pa.Table:
+        words, counts, kinds = group_words(texts)
+        group = texts["part"][0].as_py()
+        learnt = counts * (group % 2 == 0)
+        n_texts = sum(1 for _ in texts_of(texts)) * (group % 2 == 0)
+        bucket = _bucket_of(words, len(keys))
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
+        out = []
+        for b, key in enumerate(keys.tolist()):
+            own = order[edge[b] : edge[b + 1]]
+            if len(own) or b == 0:
+                head = np.array([group, b, n_texts if b == 0 else 0], np.int64)
+                out.append((key, pack(head=head, hash=words[own], learnt=learnt[own].astype(np.uint32), kind=kinds[own])))
+        return pa.table({"part": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return work
 
 
-SUMS = "what int, key bigint, x double, n bigint, m bigint"
+SUMS = "what int, part int, bucket int, data binary, key bigint, x bigint, n bigint, m bigint"
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed counts and postings of buckets to rows: what 0: a text's sum of log10(c + 1), known tokens and ends;
-    1: a frequent word's hash, class and count; 2: a class, its words and their tokens."""
-    blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-    if not blobs:
+    """Packed words of buckets, summed over all groups. what 0: the counts of a group's words in a bucket, in their order;
+    1: a frequent word's hash, class and count; 2: a class, its words and their tokens; 3: texts that were learnt from."""
+    heads = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
+    if not heads:
         return
-    heads = [unpack(b) for b in blobs]
     words, of = np.unique(np.concatenate([x["hash"] for x in heads]), return_inverse=True)
     count = np.bincount(of, np.concatenate([x["learnt"] for x in heads]), minlength=len(words)).astype(np.int64)
     kind = np.zeros(len(words), np.int64)
     kind[of] = np.concatenate([x["kind"] for x in heads])
 
-    def batch(what: int, key: np.ndarray, x: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int32)), pa.array(key.astype(np.int64)), pa.array(x.astype(np.float64)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], ["what", "key", "x", "n", "m"])
+    def rows(what: int, size: int, **columns: np.ndarray | list) -> pa.RecordBatch:
+        kinds = {"what": pa.int32(), "part": pa.int32(), "bucket": pa.int32(), "data": pa.binary(), "key": pa.int64(), "x": pa.int64(), "n": pa.int64(), "m": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array([what] * size if k == "what" else columns.get(k, [None] * size), t) for k, t in kinds.items()], list(kinds))
 
     at = 0
     for x in heads:
         n = len(x["hash"])
-        own = of[at : at + n]
+        group, bucket, _ = x["head"].tolist()
+        yield rows(0, 1, part=[group], bucket=[bucket], data=[pack(count=count[of[at : at + n]].astype(np.uint32 if not len(count) or count.max() < 1 << 32 else np.uint64))])
         at += n
-        each, text, times = np.repeat(own, x["postings"]), x["text"].astype(np.int64), x["times"].astype(np.int64)
-        m = len(x["row"])
-        ends = np.bincount(text, times * (words[each] == END_HASH), minlength=m)
-        yield batch(0, x["row"], np.bincount(text, times * np.log10(count[each] + 1.0), minlength=m), np.bincount(text, times * (count[each] > 0), minlength=m), ends)
-    real = words != END_HASH
-    top = np.flatnonzero(real & (count > 0))
+    top = np.flatnonzero(count > 0)
     top = top[np.lexsort((words[top], -count[top]))[:WORDS]]
-    yield batch(1, words[top].view(np.int64), kind[top], count[top], np.zeros(len(top)))
-    seen = real & (count > 0)
-    yield batch(2, np.arange(CLASSES + 1), np.zeros(CLASSES + 1), np.bincount(kind[seen], minlength=CLASSES + 1), np.bincount(kind[seen], count[seen], minlength=CLASSES + 1))
-    yield batch(3, np.zeros(1), np.zeros(1), np.zeros(1), count[~real].sum(keepdims=True))
+    yield rows(1, len(top), key=words[top].view(np.int64), x=kind[top], n=count[top])
+    seen = count > 0
+    yield rows(2, CLASSES, key=np.arange(CLASSES), n=np.bincount(kind[seen], minlength=CLASSES).astype(np.int64), m=np.bincount(kind[seen], count[seen], minlength=CLASSES).astype(np.int64))
+    yield rows(3, 1, m=[sum(int(x["head"][2]) for x in heads)])
 
 
 @dataclass
@@ -141,7 +161,7 @@ class Symbols:
     def of(cls, sums: DataFrame) -> Symbols:
         """From the rows of _sums: WORDS words, and one row for each class."""
         top = sums.where("what = 1").orderBy(F.col("n").desc(), "key").limit(WORDS).collect()
-        classes = np.zeros((CLASSES + 1, 2), np.int64)
+        classes = np.zeros((CLASSES, 2), np.int64)
         for r in sums.where("what = 2").groupBy("key").agg(F.sum("n").alias("words"), F.sum("m").alias("tokens")).collect():
             classes[r.key] = r.words, r.tokens
         ends = int(sums.where("what = 3").agg(F.sum("m")).first()[0] or 0)
@@ -151,7 +171,7 @@ class Symbols:
         distinct, tokens = int(classes[:, 0].sum()) + (ends > 0), int(classes[:, 1].sum()) + ends
         for r in top:
             classes[int(r.x)] -= 1, r.n
-        return cls(hashes[order], counts[order], classes[:CLASSES].sum(axis=1) + 1, classes[:CLASSES, 1], ends, tokens, distinct)
+        return cls(hashes[order], counts[order], classes.sum(axis=1) + 1, classes[:, 1], ends, tokens, distinct)
 
     def unigram(self) -> np.ndarray:
         n = np.concatenate((self.counts, self.class_tokens, [self.ends])) + 1.0
@@ -175,7 +195,15 @@ class Symbols:
         first = np.searchsorted(text, text)
         spot = np.arange(len(total))
         context = np.stack([np.where(spot - j >= first, total[np.maximum(spot - j, 0)], self.size) for j in range(1, CONTEXT + 1)], axis=1)
-        return total, text, context
+        return total.astype(np.int16), text.astype(np.int32), context.astype(np.int16)
+
+
+def add_rows(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the total's row of its index; rows of one index are summed first."""
+    order = np.argsort(index, kind="stable")
+    ordered = index[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    total[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
 class LogBilinear:
@@ -206,12 +234,12 @@ class LogBilinear:
             g_fake = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # of log sigmoid(-fake)
             g_q = g_real[:, None] * out[y] + g_fake @ out[drawn]
             g_out, g_bias = np.zeros_like(out), np.bincount(y, g_real, minlength=len(bias)).astype(np.float32)
-            np.add.at(g_out, y, g_real[:, None] * q)
+            add_rows(g_out, y, g_real[:, None] * q)
             np.add.at(g_out, drawn, g_fake.T @ q)
             np.add.at(g_bias, drawn, g_fake.sum(axis=0))
             g_seen, g_places = np.zeros_like(seen), np.zeros_like(places)
             for j in range(CONTEXT):
-                np.add.at(g_seen, c[:, j], g_q @ places[j].T)
+                add_rows(g_seen, c[:, j], g_q @ places[j].T)
                 g_places[j] = inner[j].T @ g_q
             t = state["t"] = state.get("t", 0) + 1
             rate = 0.02 / np.sqrt(1 + t / 50)
@@ -226,7 +254,7 @@ class LogBilinear:
         n = len(self.noise) + 1
         code = np.zeros(len(target), np.int64)
         for j in range(CONTEXT):
-            code = code * n + context[:, j]
+            code = code * n + context[:, j].astype(np.int64)
         order = np.argsort(code, kind="stable")
         fresh = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1]))) if len(order) else np.zeros(0, np.int64)
         edge = np.append(fresh, len(order))
@@ -293,52 +321,70 @@ def fit(texts: DataFrame, symbols: Symbols, rounds: int = 1) -> LogBilinear:
     return model
 
 
-def _scored(symbols: Symbols, model: LogBilinear):
-    """Rows (id, row, held, text) to the model's share of the score."""
+SCORED = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = len(symbols.hashes)
+
+def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
+    """A group's texts, and the counts of its words, to their scores."""
+
+    def work(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        n_words = len(symbols.hashes)
         # What a symbol adds besides its probability: nothing of its own word; a class's size.
-        share = np.concatenate((np.zeros(words), -np.log10(symbols.class_total), [0.0]))
+        share = np.concatenate((np.zeros(n_words), -np.log10(symbols.class_total), [0.0]))
         own = np.concatenate((np.log10(symbols.counts + 1.0), np.zeros(CLASSES), [np.log10(symbols.ends + 1.0)]))
-        for rows, data, at in blocks(batches, "text", BATCH_BYTES):
+        words, _, _ = group_words(texts)
+        count = np.zeros(len(words), np.int64)
+        bucket = _bucket_of(words, buckets)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b, data in zip(sums["bucket"].to_pylist(), sums["data"].to_pylist(), strict=True):
+            count[order[edge[b] : edge[b + 1]]] = unpack(data)["count"]
+        log_count = np.log10(count + 1.0)
+        base = np.log10(symbols.tokens + symbols.distinct + 1)
+        held = texts.num_rows > 0 and texts["part"][0].as_py() % 2 == 1
+        out: list[tuple[np.ndarray | list, ...]] = []
+        for ids, data, at in text_blocks(texts):
+            n = len(ids)
+            start, _, hashes = word_table(data, at, ~SPACES)
+            of, place = owners(start, at), np.searchsorted(words, hashes)
+            sums_ = np.bincount(of, log_count[place], minlength=n) + np.log10(symbols.ends + 1.0)
+            known = np.bincount(of, count[place] > 0, minlength=n).astype(np.int64) + (symbols.ends > 0)
             target, text, context = symbols.sequences(data, at)
-            n = rows.num_rows
+            tokens = np.bincount(text, minlength=n)
             model_part = np.bincount(text, model.log10_probabilities(target, context) + share[target] - own[target], minlength=n)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(np.bincount(text, minlength=n)), pa.array(model_part)], ["id", "row", "held", "n_tokens", "model_part"])
+            out.append((ids, tokens, known, sums_ - tokens * base, sums_ + model_part))
+        columns = [sum((list(x[k]) for x in out), []) for k in range(5)]
+        n = len(columns[0])
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        values = [columns[0], [held] * n, columns[1], columns[2], [symbols.tokens] * n, columns[3], columns[4]]
+        return pa.table({k.split()[0]: pa.array(v, t) for k, v, t in zip(SCORED.split(", "), values, kinds, strict=True)})
 
     return work
 
 
 def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``; ids are whole numbers.
 
     The rows that ``held`` does not mark are learnt from. Null and empty texts are one token, the end. Without any
     row to learn from, nothing is known and the base scores are 0. Repeated rows count as often as they stand, and each
     has its result. Other columns than these two, and those of ``held``, are not read.
     """
-    kind = dict(docs.dtypes)[id_col]
+    if dict(docs.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError("ids must be whole numbers")
     total = docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = max(8, -(-total // BUCKET_BYTES))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text)).alias("row"), held.alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    packed = rows.select("row", "held", "text").mapInArrow(_counts(4 * buckets), "part int, data binary")
-    sums = stored(packed.repartition(buckets, "part").mapInArrow(_sums, SUMS))
+    buckets, groups = max(8, -(-total // BUCKET_BYTES)), max(8, -(-total // GROUP_BYTES))
+    ident, body = F.col(id_col).cast("long"), F.col(text).cast("string")
+    group = 2 * F.pmod(F.xxhash64(ident, body), F.lit(groups)) + F.coalesce(held, F.lit(False)).cast("int")
+    rows = docs.select(ident.alias("id"), F.lit(0).cast("long").alias("row"), group.cast("int").alias("part"), F.coalesce(body, F.lit("")).alias("text"))
+    packed = "part int, data binary"
+    texts = rows.mapInArrow(packed_texts, packed)
+    words = texts.groupBy("part").applyInArrow(_counted(even_keys(docs.sparkSession, buckets)), packed)
+    sums = stored(words.repartition(buckets, "part").mapInArrow(_sums, SUMS))
     release(docs.sparkSession)
     symbols = Symbols.of(sums)
-    model = fit(rows.where(~F.col("held")).select("text"), symbols)
-    base = F.lit(float(np.log10(symbols.tokens + symbols.distinct + 1)))
-    # Rows that repeat each other add up to one, as often as there are ends.
-    of_row = sums.where("what = 0").groupBy("key").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("m").alias("m")).select("key", (F.col("x") / F.col("m")).alias("x"), (F.col("n") / F.col("m")).cast("bigint").alias("n_known"))
-    scored = rows.mapInArrow(_scored(symbols, model), f"id {kind}, row bigint, held boolean, n_tokens bigint, model_part double")
-    return scored.join(of_row, scored["row"] == of_row["key"]).select(
-        "id",
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(symbols.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("x") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("x") + F.col("model_part")).alias("score"),
-    )
+    model = fit(rows.where("part % 2 = 0").select("text"), symbols)
+    counts = sums.where("what = 0").select("part", "bucket", "data")
+    return texts.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_scored(symbols, model, buckets), SCORED)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

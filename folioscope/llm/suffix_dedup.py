@@ -195,7 +195,7 @@ def texts_of(table: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
             at += s
 
 
-def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, row, part, text) to one compressed string for each group of texts in a batch."""
     for rows, data, at in blocks(batches, "text", BATCH_BYTES):
         ids = rows.column(0)
@@ -307,7 +307,7 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int, gram: int) -> tu
     positions = source.where("id is not null").mapInArrow(_scan(length, gram, 8 * n_buckets), packed)
     ranked = stored(positions.repartition(n_buckets, "part").mapInArrow(_rank, packed))
     release(docs.sparkSession)
-    texts = source.mapInArrow(_packed_texts, packed)
+    texts = source.mapInArrow(packed_texts, packed)
     windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, 8 * n_buckets), packed)
     last = stored(windows.repartition(n_buckets, "part").mapInArrow(_past_threshold, packed))
     release(docs.sparkSession)
