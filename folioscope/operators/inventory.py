@@ -55,12 +55,11 @@ def requirements(df: DataFrame, keys: Sequence[str], flags: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(*[F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags])
 
 
-def row_heights(cells: DataFrame, columns: DataFrame, keys: Sequence[str], padding: float = 6.4, fill: float = 0.97) -> DataFrame:
+def row_heights(cells: DataFrame, keys: Sequence[str], padding: float = 6.4, fill: float = 0.97) -> DataFrame:
     """Height of each table row: its tallest cell's content over ``fill`` with the padding on both sides, its minimum at least.
 
     cells: keys, row, col, span, row_span, covered, content, minimum. Covered cells and those over several rows don't count.
     """
-    del columns
     own = cells.where(~F.col("covered") & (F.col("row_span") == 1))
     tallest = own.groupBy(*keys, "row").agg(F.max(F.col("content") / fill + 2 * padding).alias("__h"))
     least = cells.groupBy(*keys, "row").agg(F.max("minimum").alias("__m"))

@@ -166,4 +166,4 @@ SELECT page, r AS "row", greatest(12.0, coalesce(max(content / 0.97 + 12.8) FILT
 def q65_row_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights of rows by their tallest uncovered cell."""
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), F.col("l_quantity").alias("content"), (F.col("l_discount") > 0.05).alias("covered"), F.lit(1).alias("row_span"), F.lit(12.0).alias("minimum"))
-    return inventory.row_heights(cells, cells, ["page"])
+    return inventory.row_heights(cells, ["page"])
