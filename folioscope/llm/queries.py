@@ -10,14 +10,14 @@ import corpus_pipeline
 
 from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import OP4_SQL, op4_decontaminate
-from .html import op7_html_extract
+from .html import OP7_SQL, op7_html_extract
 from .langid import op6_langid
 from .lm import op3_lm_score
 from .media import op2_media
 from .pieces import op5_sentencepiece
 from .sharding import op8_sharding
 from .simhash import op10_simhash
-from .suffix_dedup import op1_suffix_dedup
+from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_html_extract": OP7_SQL, "op9_chat_format": OP9_SQL}

@@ -383,3 +383,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when 50-byte strings of documents with smaller ids are removed."""
     out = repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP1_SQL = """
+WITH sized AS (SELECT doc_id, encode(coalesce(text, '')) AS b8, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, i, b8[i : i + 49] AS w FROM (SELECT doc_id, b8, unnest(range(1, n - 48)) AS i FROM sized WHERE n >= 50)),
+least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING count(*) > 1),
+starts AS (SELECT windows.doc_id, i FROM windows JOIN least USING (w) WHERE windows.doc_id > first),
+runs AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM starts),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM runs) GROUP BY doc_id, k),
+gaps AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS since FROM spans
+    UNION ALL SELECT sized.doc_id, n + 1, n + 1, coalesce(last, 1) FROM sized LEFT JOIN (SELECT doc_id, max(b) AS last FROM spans GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(CASE WHEN a > since THEN hex(b8[since : a - 1]) ELSE '' END, '' ORDER BY a, b) AS k FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM sized JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
