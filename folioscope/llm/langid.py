@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, read
+from .common import crc32_of, read, trim
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -26,9 +26,9 @@ SCALE = 1 << 20
 #: Languages that the driver holds prototypes of at most.
 MOST_LANGUAGES = 5_000
 #: Cells of a count matrix, and n-grams that are multiplied at a time.
-CELLS, GRAMS_AT_ONCE = 1 << 21, 8192
-#: Code points that are taken at a time.
-CHARS_AT_ONCE = 1 << 20
+CELLS, GRAMS_AT_ONCE = 1 << 20, 4096
+#: Code points, and rows, that are taken at a time.
+CHARS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 512
 
 _letters: list[np.ndarray] = []
 
@@ -136,12 +136,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
                 vectors = np.rint(unit(text_vectors(part.column(0).to_pylist(), dimensions, gram, seed)[0]) * SCALE).astype(np.int64)
                 names = np.array(part.column(1).to_pylist(), object)
                 for name in set(names.tolist()):
                     sums[name] = sums.get(name, 0) + vectors[names == name].sum(axis=0)
+                trim()
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(v)], ["lang", "k", "v"])
 
@@ -165,8 +166,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
                 vectors, letters = text_vectors(part.column(1).to_pylist(), prototypes.shape[1], gram, seed)
                 if not names:
                     letters[:] = 0
@@ -175,6 +176,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 lang = [names[b] if n else UNKNOWN for b, n in zip(best.tolist(), letters.tolist(), strict=True)]
                 score = np.where(letters > 0, np.clip(near[np.arange(len(best)), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+                trim()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(work, f"id {kind}, lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, blocks, crc32_of, even_keys, owners, read, release, stored, tasks, word_table
+from .common import LOWER, SPACES, blocks, crc32_of, even_keys, owners, read, release, stored, tasks, trim, word_table
 from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
 #: Words with a symbol of their own, classes of the others, length of a vector, symbols that the next is predicted from.
@@ -100,6 +100,7 @@ def _counted(keys: np.ndarray):
             if len(own) or b == 0:
                 head = np.array([group, b, n_texts if b == 0 else 0], np.int64)
                 out.append((key, pack(head=head, hash=words[own], learnt=learnt[own].astype(np.uint32), kind=kinds[own])))
+        trim()
         return pa.table({"part": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return work
@@ -354,6 +355,7 @@ def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
             model_part = np.bincount(text, model.log10_probabilities(target, context) + share[target] - own[target], minlength=n)
             out.append((ids, tokens, known, sums_ - tokens * base, sums_ + model_part))
         columns = [sum((list(x[k]) for x in out), []) for k in range(5)]
+        trim()
         n = len(columns[0])
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         values = [columns[0], [held] * n, columns[1], columns[2], [symbols.tokens] * n, columns[3], columns[4]]

@@ -25,7 +25,7 @@ from .common import blocks, prefix_sums, read, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that share a suffix array.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 #: Characters of a unit that all advance in one table; longer units go through a heap.
 LONG_UNIT = 96
 #: Cells of a table of units.

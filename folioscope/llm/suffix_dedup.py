@@ -24,14 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, prefix_sums, read, release, span_hashes, stored
+from .common import blocks, even_keys, prefix_sums, read, release, span_hashes, stored, trim
 
 #: Bytes of the sampled strings; at most ``length``.
 GRAM = 20
 #: Bytes of text for each bucket of ranks, and for each group of texts.
-BUCKET_BYTES, GROUP_BYTES = 16 << 20, 16 << 20
+BUCKET_BYTES, GROUP_BYTES = 12 << 20, 8 << 20
 #: Bytes of text whose positions leave together, and whose hashes are computed together.
-BATCH_BYTES, TILE_BYTES = 16 << 20, 1 << 21
+BATCH_BYTES, TILE_BYTES = 8 << 20, 1 << 20
 _TOP48 = np.uint64(0xFFFF_FFFF_FFFF_0000)
 
 
@@ -139,7 +139,7 @@ def _mixed_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def _scan(length: int, gram: int, buckets: int):
+def _scan(length: int, gram: int, keys: np.ndarray):
     """Rows (id, row, part, text) to packed positions by bucket of their rank."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,8 @@ def _scan(length: int, gram: int, buckets: int):
             done = ident > least_by(_mixed_key(rank, context), ident)  # the context stands in this batch with a smaller id
             # What is done only passes through, by any bucket: a hot rank sends its bucket no more than a few rows a batch.
             rank[done] = context[done] = 0
-            bucket = (np.where(done, row[text].view(np.uint64), rank >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-            yield from rows_of(dealt(bucket, rank=rank, context=context, id=ident, row=row[text], group=group[text], first=first.astype(np.uint32), count=count.astype(np.uint16), done=done.astype(np.uint8)))
+            bucket = (np.where(done, row[text].view(np.uint64), rank >> np.uint64(16)) % np.uint64(len(keys))).astype(np.int64)
+            yield from rows_of(dealt(keys[bucket], rank=rank, context=context, id=ident, row=row[text], group=group[text], first=first.astype(np.uint32), count=count.astype(np.uint16), done=done.astype(np.uint8)))
 
     return work
 
@@ -180,6 +180,8 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     go_on = several & ~remove
     keep = remove | go_on
     yield from rows_of(dealt(x["group"][keep], row=x["row"][keep], id=x["id"][keep], first=x["first"][keep], count=x["count"][keep], open=go_on[keep].astype(np.uint8)))
+    del x, key, least, order, ordered, key_o, id_o
+    trim()
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
@@ -210,7 +212,7 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed], pa.binary())], ["part", "data"])
 
 
-def _windows(length: int, buckets: int):
+def _windows(length: int, keys: np.ndarray):
     """A group's texts and open runs to packed windows by bucket of their hash."""
 
     def work(texts: pa.Table, runs: pa.Table) -> pa.Table:
@@ -241,10 +243,11 @@ def _windows(length: int, buckets: int):
                         starts.append(own.astype(np.uint32))
             if hashes:
                 h, ident, row, start = (np.concatenate(v) for v in (hashes, idents, of_row, starts))
-                bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+                part = keys[((h >> np.uint64(16)) % np.uint64(len(keys))).astype(np.int64)]
                 p = np.full(len(h), texts["part"][0].as_py(), np.int32)
                 order = np.argsort(h, kind="stable")
-                out = list(dealt(bucket[order], hash=h[order], id=ident[order], row=row[order], group=p[order], first=start[order]))
+                out = list(dealt(part[order], hash=h[order], id=ident[order], row=row[order], group=p[order], first=start[order]))
+        trim()
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return work
@@ -258,6 +261,8 @@ def _past_threshold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     keep = x["id"] > least_by(x["hash"], x["id"])
     n = int(keep.sum())
     yield from rows_of(dealt(x["group"][keep], id=x["id"][keep], row=x["row"][keep], first=x["first"][keep], count=np.ones(n, np.uint16), open=np.zeros(n, np.uint8)))
+    del x, keep
+    trim()
 
 
 FOUND = "id bigint, text_bytes binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>"
@@ -289,6 +294,7 @@ def _kept(length: int, emit):
             a, b = np.searchsorted(row, r), np.searchsorted(row, r, "right")
             start, end = covered(first[a:b].astype(np.int64), count[a:b].astype(np.int64), length)
             out.append(emit(i, r, text, start.tolist(), end.tolist()))
+        trim()
         return out
 
     return work
@@ -303,12 +309,12 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int, gram: int) -> tu
     total = docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     n_buckets, groups = max(8, -(-total // BUCKET_BYTES)), max(8, -(-total // GROUP_BYTES))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string")).alias("row"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string"), F.lit(3)), F.lit(groups)).cast("int").alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    packed = "part int, data binary"
-    positions = source.where("id is not null").mapInArrow(_scan(length, gram, 8 * n_buckets), packed)
+    packed, keys = "part int, data binary", even_keys(docs.sparkSession, n_buckets)
+    positions = source.where("id is not null").mapInArrow(_scan(length, gram, keys), packed)
     ranked = stored(positions.repartition(n_buckets, "part").mapInArrow(_rank, packed))
     release(docs.sparkSession)
     texts = source.mapInArrow(packed_texts, packed)
-    windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, 8 * n_buckets), packed)
+    windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, keys), packed)
     last = stored(windows.repartition(n_buckets, "part").mapInArrow(_past_threshold, packed))
     release(docs.sparkSession)
     return texts, ranked.unionByName(last)
