@@ -2,7 +2,8 @@
 
 Every window of ``length`` bytes contains one of the sampled positions: of the GRAM-byte strings inside the window, the
 one with the least hash, the leftmost of equals. Which one it is depends on the window's bytes alone, so equal windows
-agree on it. Ranks are 64-bit names here, as only equality matters.
+agree on it. Ranks are names here, as only equality matters: 48 bits for a rank at GRAM bytes, 48 more for a context, and 64
+for a window past the threshold.
 
 Round one sorts the sampled positions of the whole corpus by their rank at GRAM bytes; unique ones are done. Round two
 pairs the rank with that of the position's whole context, all windows that it stands for: a context that also stands in
@@ -237,7 +238,7 @@ def _windows(length: int, keys: np.ndarray):
                     own = start[(start >= low) & (start < low + TILE_BYTES)]
                     if len(own):
                         h = span_hashes(prefix_sums(whole[low : low + TILE_BYTES + length]), own - low, own - low + length)
-                        hashes.append(h & _TOP48)
+                        hashes.append(h)
                         idents.append(np.full(len(h), i, np.int64))
                         of_row.append(np.full(len(h), r, np.int64))
                         starts.append(own.astype(np.uint32))
