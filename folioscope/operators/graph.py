@@ -45,21 +45,21 @@ def batch_plan(jobs: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select("name", F.when(F.col("__n") > 1, "duplicate").otherwise("ready").alias("status"), zero("n_dependencies"), zero("unresolved"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
-def inherited(nodes: DataFrame, attributes: Sequence[str], most_depth: int = 32) -> DataFrame:
+def inherited(nodes: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """Nodes (id, parent, attributes) with each attribute taken from the nearest of the node and its ancestors that states it.
 
-    A missing parent ends the chain, and so does a chain that comes back to the node it began with.
+    A missing parent ends the chain, and so does a chain that comes back to a node it has passed.
     """
     base = cut(nodes.select("id", "parent", *attributes))
-    out = base.withColumn("__next", F.col("parent"))
+    out = base.withColumn("__next", F.col("parent")).withColumn("__seen", F.array("id"))
     up = base.select(F.col("id").alias("__next"), F.col("parent").alias("__up"), *[F.col(a).alias(f"__{a}") for a in attributes])
-    for _ in range(most_depth):
+    while True:
         joined = out.join(up, "__next", "left")
-        stop = F.col("__up").isNull() | (F.col("__up") == F.col("id"))
-        out = cut(joined.select("id", "parent", *[F.coalesce(a, f"__{a}").alias(a) for a in attributes], F.when(~stop, F.col("__up")).alias("__next")))
+        seen = F.concat("__seen", F.array("__next"))
+        go_on = F.col("__up").isNotNull() & ~F.array_contains(seen, F.col("__up"))
+        out = cut(joined.select("id", "parent", *[F.coalesce(a, f"__{a}").alias(a) for a in attributes], F.when(go_on, F.col("__up")).alias("__next"), F.when(go_on, seen).alias("__seen")))
         if out.where("__next is not null").isEmpty():
-            break
-    return out.drop("__next")
+            return out.drop("__next", "__seen")
 
 
 def ancestor(path: str, tag: str):
