@@ -2,7 +2,8 @@
 
 A visitor flattens a turn's typed content parts (text, image, audio, document) into ordered placeholders, recording
 what they refer to and how many tokens they expand to. The template marks turns; control strings inside a text are
-escaped as character references, so that the formatted text can be parsed back exactly.
+escaped as character references, so that the formatted text can be parsed back exactly. They are looked for in a turn's
+whole content, so that a control string dealt over several parts is none either.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 #: A content part. n: the measure that token counts depend on (pixels of an image, milliseconds of audio, pages).
 PART = "struct<type:string,text:string,ref:string,n:bigint>"
 
+#: How a placeholder begins inside the visitor; no escaped text holds it, as its ``&`` are all ``&amp;``.
+HOLD = "&|part:"
+
 #: Tokens that a part expands to: (units of n that cost one token, tokens at least).
 EXPANSION = {"image": (28 * 28, 1), "audio": (40, 1), "document": (1, 1)}
 
@@ -48,9 +52,16 @@ def expanded(part: Column) -> Column:
 
 
 def visit(part: Column) -> Column:
-    """A part as formatted text: text escaped, anything else a placeholder, an unknown type a placeholder of its name."""
+    """A part for content(): text with its ``&`` escaped, anything else a held placeholder of its type's name."""
     kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escaped(part["text"])).otherwise(F.concat(F.lit("<|"), F.replace(escaped(kind), F.lit("|"), F.lit("")), F.lit("|>")))
+    amp = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;"))
+    return F.when(kind == "text", amp(part["text"])).otherwise(F.concat(F.lit(HOLD), F.replace(amp(kind), F.lit("|"), F.lit("")), F.lit("|>")))
+
+
+def content(parts: Column) -> Column:
+    """The parts as formatted text: neighbouring texts are one, then control strings are escaped, then placeholders become ``<|part:type|>``."""
+    whole = F.concat_ws("", F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit))
+    return F.replace(F.replace(whole, F.lit("<|"), F.lit("&lt;|")), F.lit(HOLD), F.lit("<|part:"))
 
 
 def format_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", parts: str = "parts", trained: str = "assistant") -> DataFrame:
@@ -58,12 +69,13 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn", ro
 
     turns: a row for each turn, with its parts as an array of PART (null or empty: a turn of no text). Turns go by
     ``order``, nulls first; ties go by role, then by text, so that the result does not depend on the input's order.
-    Repeated rows are turns of their own. Rows without a conversation id form one conversation, whose id is null.
+    Repeated rows are turns of their own. Rows without a conversation id form one conversation, whose id is null. A part
+    without a type is a text; null texts are empty; an empty table gives no rows; other columns are not read. A
+    conversation is one row, so it may hold 2 GB at most, very long texts included.
 
     loss: spans of UTF-8 bytes of ``formatted``, of the contents of the turns whose role is ``trained``.
     attachments: (turn, part, type, ref, n_tokens) of every part that isn't text, in order.
     """
-    content = F.concat_ws("", F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), visit))
     kept = lambda p: F.coalesce(p["type"], F.lit("text")) != "text"
     lines = turns.select(
         F.col(conv).alias("conv"),
@@ -71,7 +83,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn", ro
             F.col(order).alias("at"),
             F.coalesce(F.col(role), F.lit("")).alias("role"),
             F.concat(F.lit(START), escaped_role(F.col(role)), F.lit("\n")).alias("head"),
-            content.alias("content"),
+            content(F.col(parts)).alias("content"),
             F.filter(F.transform(F.col(parts), lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("n_tokens"))), kept).alias("attached"),
         ).alias("line"),
     )
@@ -92,7 +104,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", order: str = "turn", ro
 
 
 def parsed_turns(formatted: Column) -> Column:
-    """(role, text) of the turns of a formatted text, placeholders left as they are."""
+    """(role, text) of the turns of a formatted text, placeholders left as they are; ``attachments`` tells them from texts that look so."""
     pieces = F.split(formatted, r"<\|im_end\|>\n")
     held = F.slice(pieces, 1, F.size(pieces) - 1)
 

@@ -1,8 +1,10 @@
 """Sharding: a two-pass external shuffle in DataFrame functions alone.
 
 Pass one scatters every record by seeded hashes: its key picks the shard, and a second hash one of the shard's
-memory-sized buckets. Pass two reads bucket after bucket, puts each through a seeded Fisher-Yates shuffle (Spark's
-``shuffle``) and numbers its records after those of the buckets before it.
+memory-sized buckets, written as the files of Spark's only exchange of records. Pass two reads bucket after bucket, puts
+each through a seeded Fisher-Yates shuffle (Spark's ``shuffle``) and numbers its records after those of the buckets before
+it. A bucket is the partition of its own number, whence ``shuffle`` draws its stream: slots depend on the seed and the rows
+alone, not on how the input is cut, and what a lost executor held comes out alike when it is scattered anew.
 
 The shard law is ``key``: a record goes to the shard whose seeded hash with the key is the largest. A further shard
 takes rows only into itself, as it wins a key or changes nothing.
@@ -34,9 +36,9 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
 
     size: UTF-8 bytes of the text (null: none) plus 1. slot: place in the shard, gapless from 0. A record without a
     key has the null key's shard. The rows of one key are spread over its shard's buckets by their texts. Repeated rows
-    are kept, each with a slot of its own. An empty table gives no rows.
+    are kept, each with a slot of its own; repeats of one row (key and text) share a bucket. An empty table gives no rows.
 
-    Memory: a bucket. Its count grows with the bytes, and a task gets about one.
+    Memory: a bucket, and with it its longest text. The count of buckets grows with the bytes; a task has one.
     """
     added = ["size", "law", "shard", "grown_shard", "bucket", "slot"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
@@ -51,8 +53,8 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
         shard_of(F.col(key), shards + 1, seed).alias("grown_shard"),
         # The salt spreads the rows of one key. It comes from the row alone, so a task that runs anew deals alike.
         F.xxhash64(F.col(key), F.col(text), F.lit(seed + 1)).alias("salt"),
-    ).withColumn("bucket", (F.col("shard") * each + F.pmod("salt", F.lit(each))).cast("long"))
-    scattered = placed.repartition(max(1, each * shards), "bucket")
+    ).withColumn("bucket", (F.col("shard") * each + F.pmod("salt", F.lit(each))).cast("int"))
+    scattered = placed.repartitionById(each * shards, F.col("bucket"))
     row = F.struct("salt", "size", "shard", "grown_shard", "record")
     bucketed = scattered.groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list(row)), F.lit(seed)).alias("rows"))
     dealt = bucketed.select("bucket", F.posexplode("rows").alias("at", "row"))
