@@ -1,31 +1,35 @@
 """Main text of web pages: block structure, and a suffix array over each host's token streams.
 
-A page becomes a stream of blocks, each with its text and whether it stands in a container of chrome (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) or in the article. The token streams of a host's pages are laid end
-to end and their suffixes sorted; a string of tokens that stands in enough distinct pages is boilerplate. The blocks that
-such strings cover are removed, unless they stand in an article, where a passage may well be quoted from page to page;
-the runs that are left, in page order, are the main text.
+A page becomes a stream of blocks. Markup decides what it names: containers of chrome (menus, headers, footers, sidebars,
+notices, adverts, forms, comments) go, and an article's blocks stay, as a passage may well be quoted from page to page.
+All other blocks are open, beside an article too. The open token streams of a host's pages are laid end to end and their
+suffixes sorted; a string of tokens that stands in enough distinct pages of the host is boilerplate. Tokens that such
+strings cover are removed and unique runs are kept; what is left, in page order, is the main text.
 
-A host is cut into groups of bounded size by a hash of its pages, so no task gets more than a group.
+Pages are parsed where they are read, and those without open blocks are done then. Of pages with the same open stream one
+goes on. A host's streams are cut into groups of bounded size; each group's suffix array gives the distinct pages of its
+strings, and the groups' counts are added up over the host before anything is removed. How a host is cut changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from .common import cut, read
+from .common import mixed, read, stored, text_hashes
 
-#: Bytes of html in a group, on average.
+#: Bytes of open text in a group, on average.
 GROUP_BYTES = 4 << 20
-#: A host is cut into groups if it has over a part in so many of all bytes, and over a group's.
-LARGE_HOSTS = 100_000
-#: Tokens that a repeated string has at least, and distinct pages that it stands in.
+#: Tokens that a repeated string has at least (or all of a shorter block), and distinct pages of the host that it stands in.
 LEAST_TOKENS, LEAST_PAGES = 4, 3
 
 # Element names of HTML.
@@ -39,6 +43,9 @@ CHROME_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb
 ARTICLE_WORDS = frozenset("article main".split())
 ARTICLE_ATTRIBUTES = ("articlebody",)
 
+#: Elements that hold a text themselves: a class marks them as chrome only if all its words do.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 span a b i em strong blockquote pre q cite code time figure figcaption td th".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -59,7 +66,8 @@ def _role(name: str, attributes: str) -> str:
     if "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("aria-hidden", "").lower() == "true":
         return "hidden"
     words = {w.lower() for k in ("class", "id", "role") for w in _WORD.findall(found.get(k, ""))}
-    if name not in ("html", "body") and words & CHROME_WORDS and not (kind and not words & {"comment", "comments", "ad", "ads", "related", "sponsored", "promo", "reply", "replies"}):
+    marks = words & CHROME_WORDS
+    if name not in ("html", "body") and marks and not (name in TEXT_ELEMENTS and marks != words) and not (kind and not words & {"comment", "comments", "ad", "ads", "related", "sponsored", "promo", "reply", "replies"}):
         return "chrome"
     if words & ARTICLE_WORDS and name in ("div", "section", "td"):
         return "article"
@@ -154,83 +162,176 @@ def suffix_ranks(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     return order, rank
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least_tokens: int, least_pages: int) -> np.ndarray:
-    """Which tokens are in a string of ``least_tokens`` that stands in ``least_pages`` distinct pages. Strings don't cross pages or separators (below 0)."""
-    n = len(tokens)
-    out = np.zeros(n + 1, np.int64)
-    if n < least_tokens:
-        return out[:-1] > 0
-    _, rank = suffix_ranks(tokens, least_tokens)
-    whole = np.zeros(n, bool)
-    broken = np.concatenate(([0], np.cumsum(tokens < 0)))
-    whole[: n - least_tokens + 1] = broken[least_tokens:] == broken[: n - least_tokens + 1]
-    start = np.flatnonzero(whole)
+class Streams:
+    """The open token streams of pages, end to end; a separator (-1) stands behind each block."""
+
+    def __init__(self, pages: list[list[str]]):
+        number: dict[str, int] = {}
+        token, page, block = [], [], []
+        self.sizes: list[int] = []
+        for i, blocks in enumerate(pages):
+            for text in blocks:
+                words = text.split(" ")
+                token += [number.setdefault(w, len(number)) for w in words]
+                token.append(-1)
+                page += [i] * (len(words) + 1)
+                block += [len(self.sizes)] * (len(words) + 1)
+                self.sizes.append(len(words))
+        self.token, self.page, self.block = np.array(token, np.int64), np.array(page, np.int64), np.array(block, np.int64)
+        self.names = text_hashes([w.encode("utf-8", "surrogatepass") for w in number])
+
+    def strings(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and 64-bit name of every string of ``least`` tokens inside a block, and of every shorter block."""
+        size = np.array(self.sizes, np.int64)
+        first = np.cumsum(size + 1) - (size + 1)
+        many = np.maximum(size - least + 1, 1)
+        start = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        length = np.repeat(np.minimum(size, least), many)
+        name = length.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(least):
+                own = np.flatnonzero(length > k)
+                name[own] = mixed(name[own] * np.uint64(0x9E3779B97F4A7C15) + self.names[self.token[start[own] + k]])
+        return start, length, name
+
+
+def string_pages(streams: Streams, least_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the distinct strings, and in how many distinct pages each stands: by runs of equal ranks in suffix order."""
+    start, length, name = streams.strings(least_tokens)
     if not len(start):
-        return out[:-1] > 0
-    pairs = np.unique(rank[start] * (int(page.max()) + 1) + page[start])
-    of_rank = pairs // (int(page.max()) + 1)
-    pages = np.bincount(of_rank, minlength=int(rank.max()) + 1)
-    hit = start[pages[rank[start]] >= least_pages]
-    np.add.at(out, hit, 1)
-    np.add.at(out, np.minimum(hit + least_tokens, n), -1)
-    return np.cumsum(out)[:-1] > 0
+        return name, start
+    _, rank = suffix_ranks(streams.token, least_tokens)
+    # A shorter block is a string of its own, whatever follows it.
+    short = np.unique(name, return_inverse=True)[1] + len(streams.token)
+    group = np.where(length == least_tokens, rank[start], short)
+    page = streams.page[start]
+    order = np.lexsort((page, group))
+    group, page, name = group[order], page[order], name[order]
+    fresh = np.concatenate(([True], group[1:] != group[:-1]))
+    other = fresh | np.concatenate(([True], page[1:] != page[:-1]))
+    first = np.flatnonzero(fresh)
+    return name[first], np.add.reduceat(other.astype(np.int64), first)
+
+
+def unique_runs(streams: Streams, repeated: np.ndarray, least_tokens: int) -> np.ndarray:
+    """Which tokens no string with a name in ``repeated`` covers; separators are not kept."""
+    start, length, name = streams.strings(least_tokens)
+    hit = np.isin(name, repeated)
+    edge = np.zeros(len(streams.token) + 1, np.int64)
+    np.add.at(edge, start[hit], 1)
+    np.add.at(edge, (start + length)[hit], -1)
+    return (np.cumsum(edge)[:-1] == 0) & (streams.token >= 0)
+
+
+def left_over(pages: list[list[dict]], repeated: np.ndarray, least_tokens: int) -> list[str]:
+    """The texts of pages of blocks (text, open): tokens of open blocks that repeated strings cover are left out."""
+    streams = Streams([[b["text"] for b in p if b["open"]] for p in pages])
+    kept, at, out = unique_runs(streams, repeated, least_tokens), 0, []
+    for p in pages:
+        own = []
+        for b in p:
+            text = b["text"]
+            if b["open"]:
+                words = text.split(" ")
+                text = " ".join(w for w, k in zip(words, kept[at : at + len(words)].tolist(), strict=True) if k)
+                at += len(words) + 1
+            if text:
+                own.append(text)
+        out.append(" ".join(own))
+    return out
+
+
+def judged_blocks(source: str | None) -> list[dict]:
+    """The blocks that markup does not remove, and whether each is open. Neighbours that it keeps are one."""
+    out: list[dict] = []
+    for text, chrome, article in page_blocks(source):
+        if chrome:
+            continue
+        if article and out and not out[-1]["open"]:
+            out[-1]["text"] += " " + text
+        else:
+            out.append({"text": text, "open": not article})
+    return out
 
 
 def main_texts(pages: list[str | None], least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> list[str]:
-    """The main texts of a group of one host's pages."""
-    found = [page_blocks(p) for p in pages]
-    number: dict[str, int] = {}
-    tokens, page, block = [], [], []
-    flat: list[tuple[int, str, bool, bool]] = []
-    for i, blocks_ in enumerate(found):
-        for text, chrome, article in blocks_:
-            for word in text.split(" "):
-                tokens.append(number.setdefault(word, len(number)))
-                page.append(i)
-                block.append(len(flat))
-            tokens.append(-1)
-            page.append(i)
-            block.append(len(flat))
-            flat.append((i, text, chrome, article))
-    out: list[list[str]] = [[] for _ in pages]
-    if flat:
-        token, of_block = np.array(tokens), np.array(block)
-        repeated = repeated_tokens(token, np.array(page), least_tokens, least_pages)
-        real = token >= 0
-        covered = np.bincount(of_block[real & repeated], minlength=len(flat))
-        size = np.bincount(of_block[real], minlength=len(flat))
-        has_article = np.zeros(len(pages), bool)
-        for i, _, chrome, article in flat:
-            has_article[i] |= article and not chrome
-        for k, (i, text, chrome, article) in enumerate(flat):
-            if chrome:
-                continue
-            if article or not has_article[i] and covered[k] < size[k]:
-                out[i].append(text)
-    return [" ".join(x) for x in out]
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The main texts of all pages of one host, in one task: for small hosts and tests."""
+    found = [judged_blocks(p) for p in pages]
+    distinct = {tuple((b["text"], b["open"]) for b in p): [b["text"] for b in p if b["open"]] for p in found}
+    names, n = string_pages(Streams(list(distinct.values())), least_tokens)
+    return left_over(found, names[n >= least_pages], least_tokens)
+
+
+BLOCKS_TYPE = pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())]))
+
+
+def _parsed(id_type: pa.DataType):
+    """Rows (id, url, host, html) to (id, url, host, key, text, blocks): the text of a page without open blocks, else its blocks and their digest."""
+    schema = pa.schema([("id", id_type), ("url", pa.string()), ("host", pa.string()), ("key", pa.binary()), ("text", pa.string()), ("blocks", BLOCKS_TYPE)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                batch = whole.slice(i, 64)
+                key, text, blocks = [], [], []
+                for source in batch.column(3).to_pylist():
+                    found = judged_blocks(source)
+                    if any(b["open"] for b in found):
+                        digest = hashlib.blake2b(digest_size=16)
+                        for b in found:
+                            digest.update(b"%d%d " % (b["open"], len(b["text"])) + b["text"].encode("utf-8", "surrogatepass"))
+                        key.append(digest.digest())
+                        text.append(None)
+                        blocks.append(found)
+                    else:
+                        key.append(None)
+                        text.append(" ".join(b["text"] for b in found))
+                        blocks.append(None)
+                columns = [batch.column(0).cast(id_type), batch.column(1), batch.column(2), key, text, blocks]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return work
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html", group_bytes: int = GROUP_BYTES, least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(id, url, text) for each row of ``pages``: the article's text, empty if there is none.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
-    Null and empty html give an empty text. A page without a url is of the host "". Repeated rows give repeated rows.
-    Other columns than these three are not read.
+    Null and empty html give an empty text. A page without a url is of the host "". Repeated rows give repeated rows, and
+    count as one page; so do pages of a host whose blocks are all the same. An empty table gives no rows. Other columns
+    than these three are not read. A page must fit in a Python worker's memory some ten times over, whatever its length.
+
+    Strings are told apart by 64-bit names inside a host; page copies by 128-bit digests.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     kind = dict(pages.dtypes)[id_col]
-    source_rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host.alias("host"))
-    sizes = cut(source_rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    # Hosts over their share of the bytes: fewer than LARGE_HOSTS, whatever the table, so their list may be broadcast.
-    large = sizes.where(F.col("n") > max(group_bytes, total // LARGE_HOSTS)).select("host", F.ceil(F.col("n") / F.lit(group_bytes)).cast("int").alias("parts"))
-    dealt = source_rows.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "url", "html"), F.coalesce("parts", F.lit(1))))
-
-    def work(table: pa.Table) -> pa.Table:
-        texts = main_texts(table["html"].to_pylist())
-        return pa.table({"id": table["id"], "url": table["url"], "text": pa.array(texts, pa.string())})
-
-    return dealt.groupBy("host", "part").applyInArrow(work, f"id {kind}, url string, text string")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), host.alias("host"), F.col(source).cast("string").alias("html"))
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+    parsed = stored(rows.mapInArrow(_parsed(id_type), f"id {kind}, url string, host string, key binary, text string, blocks array<struct<text:string,open:boolean>>"))
+    done, waiting = parsed.where("key is null"), parsed.where("key is not null")
+
+    streams = waiting.groupBy("host", "key").agg(F.first("blocks").alias("blocks"))
+    sized = streams.withColumn("n", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b["text"])))
+    parts = sized.groupBy("host").agg(F.ceil(F.sum("n") / F.lit(group_bytes)).cast("int").alias("parts"))
+    dealt = stored(sized.join(parts, "host").select("host", "key", "blocks", "parts", F.pmod(F.xxhash64("key"), F.greatest("parts", F.lit(1))).cast("int").alias("part")))
+
+    def counted(table: pa.Table) -> pa.Table:
+        names, n = string_pages(Streams([[b["text"] for b in p if b["open"]] for p in table["blocks"].to_pylist()]), least_tokens)
+        if table["parts"][0].as_py() <= 1:  # the host is here as a whole
+            names, n = names[n >= least_pages], n[n >= least_pages]
+        size = len(names)
+        return pa.table({"host": pa.array([table["host"][0].as_py()] * size, pa.string()), "part": pa.array(np.full(size, table["part"][0].as_py()), pa.int32()), "name": pa.array(names.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+
+    strings = dealt.groupBy("host", "part").applyInArrow(counted, "host string, part int, name bigint, n bigint")
+    over = strings.withColumn("total", F.sum("n").over(Window.partitionBy("host", "name"))).where(F.col("total") >= least_pages).select("host", "part", "name")
+
+    def cleaned(table: pa.Table, found: pa.Table) -> pa.Table:
+        texts = left_over(table["blocks"].to_pylist(), found["name"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), least_tokens)
+        return pa.table({"host": table["host"], "key": table["key"], "text": pa.array(texts, pa.string())})
+
+    clean = dealt.groupBy("host", "part").cogroup(over.groupBy("host", "part")).applyInArrow(cleaned, "host string, key binary, text string")
+    judged = waiting.select("id", "url", "host", "key").join(clean, ["host", "key"])
+    return done.select("id", "url", "text").unionByName(judged.select("id", "url", "text"))
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
