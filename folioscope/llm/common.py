@@ -125,6 +125,8 @@ def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20_240_501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Other values of the bytes, for hashes independent of the first.
+OTHER_BYTE = np.random.default_rng(20_240_503).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -149,11 +151,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """n + 1 running sums of byte values times powers; a difference of two is a substring's polynomial, shifted by its start."""
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * powers(len(data)), out=sums[1:])
+        np.cumsum(values[data] * powers(len(data)), out=sums[1:])
     return sums
 
 
@@ -226,14 +228,3 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
-
-
-def even_keys(spark: SparkSession, n: int) -> np.ndarray:
-    """Whole numbers that repartition(n, key) deals to n different partitions, one each: buckets then neither meet nor leave gaps."""
-    most = n * (int(np.log(n + 1)) + 4)
-    while True:
-        own = F.col("id").cast("int")
-        found = spark.range(most).groupBy(F.pmod(F.hash(own), F.lit(n)).alias("p")).agg(F.min(own).alias("k")).collect()
-        if len(found) == n:
-            return np.array([r.k for r in sorted(found, key=lambda r: r.p)], np.int32)
-        most *= 2

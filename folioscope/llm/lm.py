@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, blocks, crc32_of, even_keys, owners, read, release, stored, tasks, trim, word_table
+from .common import LOWER, SPACES, blocks, crc32_of, owners, read, release, stored, tasks, trim, word_table
 from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
 #: Words with a symbol of their own, classes of the others, length of a vector, symbols that the next is predicted from.
@@ -83,7 +83,7 @@ def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _counted(keys: np.ndarray):
+def _counted(buckets: int):
     """A group's texts to its words and their training counts, packed by bucket. Groups with an odd number are held out."""
 
     def work(texts: pa.Table) -> pa.Table:
@@ -91,15 +91,15 @@ def _counted(keys: np.ndarray):
         group = texts["part"][0].as_py()
         learnt = counts * (group % 2 == 0)
         n_texts = sum(1 for _ in texts_of(texts)) * (group % 2 == 0)
-        bucket = _bucket_of(words, len(keys))
+        bucket = _bucket_of(words, buckets)
         order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = []
-        for b, key in enumerate(keys.tolist()):
+        for b in range(buckets):
             own = order[edge[b] : edge[b + 1]]
             if len(own) or b == 0:
                 head = np.array([group, b, n_texts if b == 0 else 0], np.int64)
-                out.append((key, pack(head=head, hash=words[own], learnt=learnt[own].astype(np.uint32), kind=kinds[own])))
+                out.append((b, pack(head=head, hash=words[own], learnt=learnt[own].astype(np.uint32), kind=kinds[own])))
         trim()
         return pa.table({"part": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
@@ -380,8 +380,8 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str
     rows = docs.select(ident.alias("id"), F.lit(0).cast("long").alias("row"), group.cast("int").alias("part"), F.coalesce(body, F.lit("")).alias("text"))
     packed = "part int, data binary"
     texts = rows.mapInArrow(packed_texts, packed)
-    words = texts.groupBy("part").applyInArrow(_counted(even_keys(docs.sparkSession, buckets)), packed)
-    sums = stored(words.repartition(buckets, "part").mapInArrow(_sums, SUMS))
+    words = texts.groupBy("part").applyInArrow(_counted(buckets), packed)
+    sums = stored(words.repartitionById(buckets, F.col("part")).mapInArrow(_sums, SUMS))
     release(docs.sparkSession)
     symbols = Symbols.of(sums)
     model = fit(rows.where("part % 2 = 0").select("text"), symbols)

@@ -419,8 +419,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gro
     """
     found = groups(docs, id_col, text, **options).select(F.col("id").alias("__id"), F.col("component_id").alias("__first")).distinct()
     keep = found.where(F.col("__id").eqNullSafe(F.col("__first"))).select("__id")
-    left = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi")
-    return left.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(text))).where("__n = 1").drop("__n")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
+    left = held.join(keep, F.col("record")[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    first = left.withColumn("n", F.row_number().over(Window.partitionBy(F.col("record")[id_col]).orderBy(F.col("record")[text]))).where("n = 1")
+    return first.select(*[F.col("record")[c].alias(c) for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Removal of long repeated byte strings by distributed prefix doubling over sampled suffix positions.
+"""Removal of long repeated byte strings by ranks of sampled suffix positions, refined until unique or past the threshold.
 
 Every window of ``length`` bytes contains one of the sampled positions: of the GRAM-byte strings inside the window, the
 one with the least hash, the leftmost of equals. Which one it is depends on the window's bytes alone, so equal windows
-agree on it. Ranks are names here, as only equality matters: 48 bits for a rank at GRAM bytes, 48 more for a context, and 64
-for a window past the threshold.
+agree on it. Ranks are names here, as only equality matters: 48 bits for a rank at GRAM bytes, 64 more for a context, and
+96 for a window past the threshold.
 
 Round one sorts the sampled positions of the whole corpus by their rank at GRAM bytes; unique ones are done. Round two
 pairs the rank with that of the position's whole context, all windows that it stands for: a context that also stands in
@@ -11,7 +11,9 @@ a document with a smaller id is removed as it is, and a position whose rank repe
 Round three is past the threshold: the windows themselves, at ``length`` bytes, of those positions only.
 
 Positions travel as compressed arrays, a batch's share of a bucket in one row. A batch sends a context once, with the
-smallest id that has it there, so a passage that many documents share reaches its bucket once a batch.
+smallest id that has it there, so a passage that many documents share reaches its bucket once a batch. A rank that repeats
+often in one batch needs no bucket to say so: its positions go on to round three at once, but for the few that tell other
+batches. There a group of texts sends a window once. So no bucket gets more of a hot string than a few rows a batch.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, even_keys, prefix_sums, read, release, span_hashes, stored, trim
+from .common import OTHER_BYTE, blocks, prefix_sums, read, release, span_hashes, stored, trim
 
 #: Bytes of the sampled strings; at most ``length``.
 GRAM = 20
@@ -34,6 +36,12 @@ BUCKET_BYTES, GROUP_BYTES = 12 << 20, 8 << 20
 #: Bytes of text whose positions leave together, and whose hashes are computed together.
 BATCH_BYTES, TILE_BYTES = 8 << 20, 1 << 20
 _TOP48 = np.uint64(0xFFFF_FFFF_FFFF_0000)
+#: Positions of one rank in a batch from which they go on without a bucket's word.
+HOT = 64
+#: Buckets that one exchange deals into at most; more take two exchanges, so that packed rows do not become tiny.
+FAN_OUT = 512
+#: Bytes of packed rows that the first exchange's tasks put together at a time.
+REGROUP_BYTES = 16 << 20
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -89,18 +97,34 @@ def sampled(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> Iterato
         yield text[fresh], first + low - at[text[fresh]], last - first + 1, rank[place[fresh]], span_hashes(sums, first, last + length)
 
 
-def least_by(key: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For each row the least value among the rows of its key."""
-    if not len(key):
+def least_by(keys: tuple[np.ndarray, ...], value: np.ndarray) -> np.ndarray:
+    """For each row the least value among the rows with the same keys. Rows are sorted by the first key, which alone tells nearly all apart."""
+    if not len(value):
         return value
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    order = np.argsort(keys[0])
+    if len(keys) > 1 and _mixes(keys, order):
+        order = np.lexsort(keys[::-1])
+    first = np.flatnonzero(_fresh(keys, order))
     out = np.empty_like(value)
-    out[order] = np.repeat(np.minimum.reduceat(value[order], first), np.diff(np.append(first, len(key))))
+    out[order] = np.repeat(np.minimum.reduceat(value[order], first), np.diff(np.append(first, len(value))))
     return out
 
 
+def _fresh(keys: tuple[np.ndarray, ...], order: np.ndarray) -> np.ndarray:
+    """Which rows, in this order, differ from the one before in any key."""
+    out = np.zeros(len(order), bool)
+    out[:1] = True
+    for key in keys:
+        ordered = key[order]
+        out[1:] |= ordered[1:] != ordered[:-1]
+    return out
+
+
+def _mixes(keys: tuple[np.ndarray, ...], order: np.ndarray) -> bool:
+    """Whether rows that agree in the first key differ in another."""
+    return int(_fresh(keys, order).sum()) != int(_fresh(keys[:1], order).sum())
+
+
 #: Columns of a text, which its positions share.
 TEXT_COLUMNS = ("id", "row", "group")
 
@@ -134,13 +158,57 @@ def joined(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([x[k] for x in found]) for k in found[0]} if found else {}
 
 
-def _mixed_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (a ^ (b >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
-        return x ^ (x >> np.uint64(29))
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of a part put together, some bytes at a time."""
+    held: dict[int, list[bytes]] = {}
+    size = 0
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for part, blobs in held.items():
+            x = joined(blobs)
+            yield from rows_of(dealt(np.full(len(x["row"]), part, np.int64), **x))
+
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(part, []).append(data)
+            size += len(data)
+            if size > REGROUP_BYTES:
+                yield from given()
+                held, size = {}, 0
+    yield from given()
+
+
+def to_buckets(packed: DataFrame, n: int, fan_out: int | None = None) -> DataFrame:
+    """Packed rows (part, data), each part in the partition of its number."""
+    per = fan_out or FAN_OUT
+    if n > per:
+        wide = -(-n // per)
+        packed = packed.repartitionById(-(-n // wide), F.expr(f"cast(floor(part / {wide}) as int)")).mapInArrow(_regrouped, "part int, data binary")
+    return packed.repartitionById(n, F.col("part"))
+
+
+def _hot(rank: np.ndarray, context: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """Positions whose rank stands here over HOT times, under several contexts and ids, but for those with the least and greatest of both."""
+    out = np.zeros(len(rank), bool)
+    if not len(rank):
+        return out
+    order = np.argsort(rank)
+    edge = np.flatnonzero(_fresh((rank,), order))
+    many = np.flatnonzero(np.diff(np.append(edge, len(order))) > HOT)
+    for a, b in zip(edge[many].tolist(), np.append(edge, len(order))[many + 1].tolist(), strict=True):
+        own = order[a:b]
+        i, c = ident[own], context[own]
+        if i.min() != i.max() and c.min() != c.max():
+            out[own] = True
+            out[own[[i.argmin(), i.argmax(), c.argmin(), c.argmax()]]] = False
+    return out
 
 
-def _scan(length: int, gram: int, keys: np.ndarray):
+#: How a position stands when it leaves its batch: a bucket decides; removed; goes on to round three.
+ASKS, REMOVED, GOES_ON = 0, 1, 2
+
+
+def _scan(length: int, gram: int, n_buckets: int):
     """Rows (id, row, part, text) to packed positions by bucket of their rank."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +219,15 @@ def _scan(length: int, gram: int, keys: np.ndarray):
             if not found:
                 continue
             text, first, count, rank, context = (np.concatenate(x) for x in zip(*found, strict=True))
-            rank, context, ident = rank & _TOP48, context & _TOP48, ids[text]
-            done = ident > least_by(_mixed_key(rank, context), ident)  # the context stands in this batch with a smaller id
-            # What is done only passes through, by any bucket: a hot rank sends its bucket no more than a few rows a batch.
-            rank[done] = context[done] = 0
-            bucket = (np.where(done, row[text].view(np.uint64), rank >> np.uint64(16)) % np.uint64(len(keys))).astype(np.int64)
-            yield from rows_of(dealt(keys[bucket], rank=rank, context=context, id=ident, row=row[text], group=group[text], first=first.astype(np.uint32), count=count.astype(np.uint16), done=done.astype(np.uint8)))
+            rank, ident = rank & _TOP48, ids[text]
+            state = np.zeros(len(rank), np.uint8)
+            state[ident > least_by((context, rank), ident)] = REMOVED  # the context stands in this batch with a smaller id
+            asks = np.flatnonzero(state == ASKS)
+            state[asks[_hot(rank[asks], context[asks], ident[asks])]] = GOES_ON
+            # What is decided only passes through, by any bucket: a hot rank sends its bucket no more than a few rows a batch.
+            rank[state != ASKS] = context[state != ASKS] = 0
+            bucket = (np.where(state != ASKS, row[text].view(np.uint64), rank >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
+            yield from rows_of(dealt(bucket, rank=rank, context=context, id=ident, row=row[text], group=group[text], first=first.astype(np.uint32), count=count.astype(np.uint16), state=state))
 
     return work
 
@@ -166,22 +237,24 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     x = joined([b for batch in batches for b in batch.column(1).to_pylist()])
     if not x:
         return
-    done = x["done"] == 1
-    key = _mixed_key(x["rank"], x["context"])
-    least = least_by(key, x["id"])
-    remove = done | (x["id"] > least)
-    # The first rows of each context; a rank that several contexts and ids share goes on with them.
-    order = np.argsort(x["rank"], kind="stable")
-    ordered = x["rank"][order]
-    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    size = np.diff(np.append(edge, len(order)))
-    several = np.zeros(len(order), bool)
-    key_o, id_o = key[order], x["id"][order]
-    several[order] = np.repeat((np.minimum.reduceat(key_o, edge) != np.maximum.reduceat(key_o, edge)) & (np.minimum.reduceat(id_o, edge) != np.maximum.reduceat(id_o, edge)), size)
-    go_on = several & ~remove
+    remove, go_on = x["state"] == REMOVED, x["state"] == GOES_ON
+    asks = np.flatnonzero(x["state"] == ASKS)
+    if len(asks):
+        rank, context, ident = x["rank"][asks], x["context"][asks], x["id"][asks]
+        own = ident > least_by((context, rank), ident)
+        remove[asks] = own
+        # The first rows of each context; a rank that several contexts and ids share goes on with them.
+        order = np.argsort(rank)
+        edge = np.flatnonzero(_fresh((rank,), order))
+        several = np.ones(len(edge), bool)
+        for value in (context[order], ident[order]):
+            several &= np.minimum.reduceat(value, edge) != np.maximum.reduceat(value, edge)
+        whole = np.empty(len(order), bool)
+        whole[order] = np.repeat(several, np.diff(np.append(edge, len(order))))
+        go_on[asks] = whole & ~own
     keep = remove | go_on
     yield from rows_of(dealt(x["group"][keep], row=x["row"][keep], id=x["id"][keep], first=x["first"][keep], count=x["count"][keep], open=go_on[keep].astype(np.uint8)))
-    del x, key, least, order, ordered, key_o, id_o
+    del x
     trim()
 
 
@@ -213,8 +286,13 @@ def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed], pa.binary())], ["part", "data"])
 
 
-def _windows(length: int, keys: np.ndarray):
-    """A group's texts and open runs to packed windows by bucket of their hash."""
+def window_names(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of windows: 64 bits, and 32 more of an independent hash."""
+    return span_hashes(prefix_sums(data), start, start + length), (span_hashes(prefix_sums(data, OTHER_BYTE), start, start + length) >> np.uint64(32)).astype(np.uint32)
+
+
+def _windows(length: int, n_buckets: int):
+    """A group's texts and open runs to packed windows by bucket of their name. A window goes once, with the smallest id that has it in the group."""
 
     def work(texts: pa.Table, runs: pa.Table) -> pa.Table:
         x = joined(runs["data"].to_pylist())
@@ -222,32 +300,31 @@ def _windows(length: int, keys: np.ndarray):
         if x and (x["open"] == 1).any():
             keep = x["open"] == 1
             order = np.argsort(x["row"][keep], kind="stable")
-            ident, row, first, count = (x[k][keep][order] for k in ("id", "row", "first", "count"))
+            row, first, count = (x[k][keep][order] for k in ("row", "first", "count"))
             wanted = set(row.tolist())
-            seen: set[int] = set()
-            hashes, idents, of_row, starts = [], [], [], []
+            seen: set[tuple[int, int]] = set()
+            found: list[tuple[np.ndarray, ...]] = []
             for i, r, text in texts_of(texts):
-                if r not in wanted or r in seen:
+                if r not in wanted or (i, r) in seen:
                     continue
-                seen.add(r)
+                seen.add((i, r))
                 a, b = np.searchsorted(row, r), np.searchsorted(row, r, "right")
                 f, c = first[a:b].astype(np.int64), count[a:b].astype(np.int64)
                 start = np.unique(np.repeat(f - (np.cumsum(c) - c), c) + np.arange(int(c.sum())))
                 whole = np.frombuffer(text, np.uint8)
                 for low in range(0, len(whole), TILE_BYTES):
-                    own = start[(start >= low) & (start < low + TILE_BYTES)]
+                    own = start[(start >= low) & (start < low + TILE_BYTES) & (start + length <= len(whole))]
                     if len(own):
-                        h = span_hashes(prefix_sums(whole[low : low + TILE_BYTES + length]), own - low, own - low + length)
-                        hashes.append(h)
-                        idents.append(np.full(len(h), i, np.int64))
-                        of_row.append(np.full(len(h), r, np.int64))
-                        starts.append(own.astype(np.uint32))
-            if hashes:
-                h, ident, row, start = (np.concatenate(v) for v in (hashes, idents, of_row, starts))
-                part = keys[((h >> np.uint64(16)) % np.uint64(len(keys))).astype(np.int64)]
+                        names = window_names(whole[low : low + TILE_BYTES + length], own - low, length)
+                        found.append((*names, np.full(len(own), i, np.int64), np.full(len(own), r, np.int64), own.astype(np.uint32)))
+            if found:
+                h, check, ident, row, start = (np.concatenate(v) for v in zip(*found, strict=True))
+                done = ident > least_by((h, check), ident)
+                h[done] = check[done] = 0
+                part = (np.where(done, row.view(np.uint64), h >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
                 p = np.full(len(h), texts["part"][0].as_py(), np.int32)
-                order = np.argsort(h, kind="stable")
-                out = list(dealt(part[order], hash=h[order], id=ident[order], row=row[order], group=p[order], first=start[order]))
+                order = np.argsort(h)
+                out = list(dealt(part[order], hash=h[order], check=check[order], id=ident[order], row=row[order], group=p[order], first=start[order], state=done[order].astype(np.uint8)))
         trim()
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
@@ -259,7 +336,9 @@ def _past_threshold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     x = joined([b for batch in batches for b in batch.column(1).to_pylist()])
     if not x:
         return
-    keep = x["id"] > least_by(x["hash"], x["id"])
+    keep = x["state"] == REMOVED
+    asks = np.flatnonzero(~keep)
+    keep[asks] = x["id"][asks] > least_by((x["hash"][asks], x["check"][asks]), x["id"][asks])
     n = int(keep.sum())
     yield from rows_of(dealt(x["group"][keep], id=x["id"][keep], row=x["row"][keep], first=x["first"][keep], count=np.ones(n, np.uint16), open=np.zeros(n, np.uint8)))
     del x, keep
@@ -282,18 +361,19 @@ def covered(first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarr
 def _kept(length: int, emit):
     """A group's texts and runs to result rows."""
 
-    def work(texts: pa.Table, runs: pa.Table) -> pa.Table:
+    def work(texts: pa.Table, runs: pa.Table) -> list:
         x = joined(runs["data"].to_pylist())
         if x:
             keep = x["open"] == 0
             order = np.argsort(x["row"][keep], kind="stable")
-            row, first, count = (x[k][keep][order] for k in ("row", "first", "count"))
+            row, ident, first, count = (x[k][keep][order] for k in ("row", "id", "first", "count"))
         else:
-            row = first = count = np.zeros(0, np.int64)
+            row = ident = first = count = np.zeros(0, np.int64)
         out = []
         for i, r, text in texts_of(texts):
-            a, b = np.searchsorted(row, r), np.searchsorted(row, r, "right")
-            start, end = covered(first[a:b].astype(np.int64), count[a:b].astype(np.int64), length)
+            own = slice(int(np.searchsorted(row, r)), int(np.searchsorted(row, r, "right")))
+            mine = ident[own] == i if i is not None else np.zeros(own.stop - own.start, bool)
+            start, end = covered(first[own][mine].astype(np.int64), count[own][mine].astype(np.int64), length)
             out.append(emit(i, r, text, start.tolist(), end.tolist()))
         trim()
         return out
@@ -310,13 +390,13 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int, gram: int) -> tu
     total = docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     n_buckets, groups = max(8, -(-total // BUCKET_BYTES)), max(8, -(-total // GROUP_BYTES))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string")).alias("row"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string"), F.lit(3)), F.lit(groups)).cast("int").alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    packed, keys = "part int, data binary", even_keys(docs.sparkSession, n_buckets)
-    positions = source.where("id is not null").mapInArrow(_scan(length, gram, keys), packed)
-    ranked = stored(positions.repartition(n_buckets, "part").mapInArrow(_rank, packed))
+    packed = "part int, data binary"
+    positions = source.where("id is not null").mapInArrow(_scan(length, gram, n_buckets), packed)
+    ranked = stored(to_buckets(positions, n_buckets).mapInArrow(_rank, packed))
     release(docs.sparkSession)
     texts = source.mapInArrow(packed_texts, packed)
-    windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, keys), packed)
-    last = stored(windows.repartition(n_buckets, "part").mapInArrow(_past_threshold, packed))
+    windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, n_buckets), packed)
+    last = stored(to_buckets(windows, n_buckets).mapInArrow(_past_threshold, packed))
     release(docs.sparkSession)
     return texts, ranked.unionByName(last)
 
@@ -327,7 +407,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spans: maximal runs, in UTF-8 bytes, of what strings of ``length`` bytes cover that also start in a row with a
     smaller id. Rows with the same id never take from each other; repeated rows have the same result each. A row
     without an id neither loses bytes nor makes others lose any. Null and empty texts are empty. Matches do not cross
-    rows and are judged on the texts as they came. Other columns than these two are not read.
+    rows and are judged on the texts as they came. Other columns than these two are not read. An empty table gives no
+    rows. A text must fit in a Python worker's memory some thirty times over, whatever its length.
     """
     texts, runs = _plan(docs, id_col, text, length, gram)
 
@@ -361,7 +442,8 @@ def whole_characters(data: bytes, start: int, end: int) -> tuple[int, int]:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated spans taken out of ``text``, whole characters only; other columns and rows stay.
 
-    Null texts stay null.
+    Null texts stay null; empty texts, ties, repeated rows, rows without an id, very long texts and empty tables are as in
+    repeated_spans(). Other columns may have any names.
     """
     texts, runs = _plan(docs, id_col, text, length, gram)
 
@@ -372,18 +454,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out.append(data[at:a])
             at = b
         out.append(data[at:])
-        return r, b"".join(out).decode("utf-8", "replace")
+        return i, r, b"".join(out).decode("utf-8", "replace")
 
     kept = _kept(length, emit)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list({r: t for r, t in kept(left, right)}.items())
-        return pa.table({"row": pa.array([r for r, _ in rows], pa.int64()), "kept": pa.array([t for _, t in rows], pa.string())})
-
-    clean = texts.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(work, "row bigint, kept string").withColumnRenamed("row", "__row")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string"))).withColumn("__null", F.col(text).isNull())
-    rest = [F.col(f"`{c}`") if c != text else F.when(~F.col("__null"), F.col("kept")).alias(text) for c in docs.columns]
-    return keyed.drop(text).join(clean, "__row").select(*rest)
+        rows = list({(i, r): t for i, r, t in kept(left, right)}.items())
+        return pa.table({"id": pa.array([i for (i, _), _ in rows], pa.int64()), "row": pa.array([r for (_, r), _ in rows], pa.int64()), "kept": pa.array([t for _, t in rows], pa.string())})
+
+    clean = texts.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(work, "id bigint, row bigint, kept string").select(F.col("id").alias("of"), "row", "kept")
+    ident = F.col(id_col).cast("long")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), ident.alias("id"), F.xxhash64(ident, F.col(text).cast("string")).alias("hash"))
+    whole = keyed.join(clean, (F.col("hash") == F.col("row")) & F.col("id").eqNullSafe(F.col("of")))
+    return whole.select(*[F.when(F.col("record")[c].isNotNull(), F.col("kept")).alias(c) if c == text else F.col("record")[c].alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

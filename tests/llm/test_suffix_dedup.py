@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import suffix_dedup as S
@@ -76,3 +77,53 @@ def test_packing_round_trip():
     x = {"a": np.arange(7, dtype=np.uint64) << np.uint64(40), "b": np.array([1, -2, 3], np.int64), "c": np.zeros(0, np.uint16)}
     y = S.unpack(S.pack(**x))
     assert all(np.array_equal(x[k], y[k]) and x[k].dtype == y[k].dtype for k in x)
+
+
+def hot_rows(n, seed):
+    """Random texts that all hold a line of 20 to 49 bytes, some also passages of others."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnop "), k))
+    line = "the same thirty bytes in each." + "x" * 6
+    out = [(i, word(60) + line + word(70)) for i in range(n)]
+    out += [(n + i, out[int(rng.integers(0, n))][1][20:110] + word(30) + out[int(rng.integers(0, n))][1][40:]) for i in range(n // 5)]
+    return [out[i] for i in rng.permutation(len(out)).tolist()]
+
+
+def test_a_line_in_every_row(spark, monkeypatch):
+    rows = hot_rows(400, 5)
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert found(df.repartition(2)) == brute(rows)
+    assert found(df.repartition(7)) == brute(rows)
+
+
+def test_hot_ranks_pass_their_bucket():
+    rows = hot_rows(400, 6)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows])], ["id", "row", "part", "text"])
+    x = S.joined([d for b in S._scan(50, 20, 8)(iter([batch])) for d in b.column(1).to_pylist()])
+    _, n = np.unique(x["rank"][x["state"] == S.ASKS], return_counts=True)
+    assert n.max() <= S.HOT and (x["state"] == S.GOES_ON).sum() > 300
+
+
+def test_two_exchanges_deal_as_one(spark):
+    rng = np.random.default_rng(1)
+    blobs = []
+    for k in range(40):
+        part, row = rng.integers(0, 23, 50), rng.integers(0, 9, 50)
+        blobs += list(S.dealt(part, row=row, id=row + 5, first=rng.integers(0, 1 << 30, 50).astype(np.uint32)))
+    df = spark.createDataFrame([(p, bytearray(d)) for p, d in blobs], "part int, data binary").repartition(3)
+    want = [sorted(x) for x in zip(*[S.joined([d for _, d in blobs])[k].tolist() for k in ("row", "id", "first")], strict=True)]
+    for fan_out in (100, 4):
+        out = S.to_buckets(df, 23, fan_out)
+        assert out.rdd.getNumPartitions() == 23
+        rows = out.collect()
+        got = [sorted(x) for x in zip(*[S.joined([bytes(r.data) for r in rows])[k].tolist() for k in ("row", "id", "first")], strict=True)]
+        assert sorted(got) == sorted(want)
+        spread = out.selectExpr("part", "spark_partition_id() AS p").distinct().collect()
+        assert all(r.part == r.p for r in spread)
+
+
+def test_columns_with_the_names_of_the_operator(spark):
+    rows = [(i, t, "k", "r", "n", 1, 2) for i, t in hot_rows(30, 7)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, kept string, __row string, __null string, row int, hash int")
+    out = S.without_repeats(df)
+    assert out.columns == df.columns and {tuple(r[2:]) for r in out.collect()} == {("k", "r", "n", 1, 2)}
