@@ -1,14 +1,18 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
-Symbols are the most frequent words, one for the end of a text, and classes of all other words by their last two bytes.
-The model adds up the vectors of the last CONTEXT symbols, each through a matrix of its place, and compares the sum with
-every symbol's vector in one matrix product, which also normalises. A word of a class has the class's probability times
-its add-one share of the class. Every task trains on all its training texts from the same start; the parameters are
-averaged, weighted by tokens.
-
-Counts cover the whole corpus. Texts are dealt into groups of bounded size; a group sends each bucket of words its
-distinct ones with their counts, as compressed arrays, and gets their sums over all groups back in the same order. No
-dictionary is ever held whole, and what is sent grows as the groups' distinct words.
+The words that occur most often have vectors of their own; all others share the vectors of classes, by their last three
+bytes. The model adds up the vectors of the last CONTEXT symbols, each through a matrix of its place, and compares the sum
+with output vectors in two steps, each a batched matrix product that normalises: first with those of the TOP most frequent
+words, the classes and the end of a text, then, inside a class, with those of its own words and one for all its other
+words, of which each has its add-one share. Probabilities of all words thus add up to 1.
+
+Texts are dealt into groups of bounded size by a hash, and a fixed number of groups makes a replica. A replica trains on
+all its training texts from the same start, in the order of their ids; the replicas' parameters are averaged, every row of
+a matrix weighted by how often it was a target or a context there. How the input is cut changes nothing.
+
+Counts cover the whole corpus. A group sends each bucket of words its distinct ones with their counts, as compressed
+arrays, and gets their sums over all groups back in the same order. No dictionary is ever held whole, and what is sent
+grows as the groups' distinct words.
 """
 
 from __future__ import annotations
@@ -18,20 +22,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, blocks, crc32_of, owners, read, release, stored, tasks, trim, word_table
+from .common import LOWER, SPACES, crc32_of, owners, read, release, stored, trim, word_table
 from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
-#: Words with a symbol of their own, classes of the others, length of a vector, symbols that the next is predicted from.
-WORDS, CLASSES, DIMENSIONS, CONTEXT = 384, 127, 24, 3
+#: Words with vectors of their own: the size of the model. The most frequent of them are told apart in the first step.
+WORDS, TOP = 16_384, 128
+#: Classes of words, length of a vector, symbols that the next is predicted from.
+CLASSES, DIMENSIONS, CONTEXT = 127, 24, 3
 #: Noise symbols drawn for each step of so many tokens.
 NOISE, STEP = 48, 4096
 #: Bytes of text for each bucket of words and for each group of texts, and whose tokens are handled together.
 BUCKET_BYTES, GROUP_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 2 << 20
+#: Groups that a replica is trained on, and parameters that are added up at a time.
+REPLICA_GROUPS, ADDED_AT_ONCE = 4, 16
 #: Contexts whose predictions are computed together.
-CONTEXTS_AT_ONCE = 4096
+CONTEXTS_AT_ONCE = 512
 SEED = 11
 
 
@@ -40,33 +49,32 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def word_class(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Class of each word, by its last two bytes in lower case."""
-    last = LOWER[data[end - 1]].astype(np.uint64)
-    before = np.where(end - start > 1, LOWER[data[np.maximum(end - 2, 0)]], 0).astype(np.uint64)
-    return ((((last << np.uint64(8)) | before) * np.uint64(2654435761) >> np.uint64(13)) % np.uint64(CLASSES)).astype(np.int64)
+    """Class of each word, by its last three bytes in lower case."""
+    code = np.zeros(len(start), np.uint64)
+    for k in range(1, 4):
+        code = (code << np.uint64(8)) | np.where(end - start >= k, LOWER[data[np.maximum(end - k, 0)]], 0).astype(np.uint64)
+    return ((code * np.uint64(2654435761) >> np.uint64(13)) % np.uint64(CLASSES)).astype(np.int64)
 
 
-def text_blocks(texts: pa.Table) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets): a group's texts, some at a time."""
-    ids: list[int | None] = []
-    own: list[bytes] = []
-    size = 0
+def text_blocks(texts: list[tuple[int | None, bytes]]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets): texts, some at a time."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j][1]) <= BATCH_BYTES):
+            size += len(texts[j][1])
+            j += 1
+        own = [t for _, t in texts[i:j]]
+        yield [k for k, _ in texts[i:j]], np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in own]))).astype(np.int64)
+        i = j
 
-    def made() -> tuple[list[int | None], np.ndarray, np.ndarray]:
-        return list(ids), np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in own]))).astype(np.int64)
 
-    for i, _, text in texts_of(texts):
-        if own and size + len(text) > BATCH_BYTES:
-            yield made()
-            ids, own, size = [], [], 0
-        ids.append(i)
-        own.append(text)
-        size += len(text)
-    if own:
-        yield made()
+def in_order(texts: pa.Table) -> list[tuple[int | None, bytes]]:
+    """(id, text) of packed texts, by id, then by text: the same however they came."""
+    return sorted(((i, t) for i, _, t in texts_of(texts)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
-def group_words(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def group_words(texts: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, sorted, counts and classes of the distinct words of a group's texts."""
     words, counts, kinds = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
     for _, data, at in text_blocks(texts):
@@ -83,36 +91,46 @@ def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
+#: A group: its texts as one packed string, or the packed counts of its words in a bucket.
+GROUPED = "part int, bucket int, data binary"
+
+
 def _counted(buckets: int):
-    """A group's texts to its words and their training counts, packed by bucket. Groups with an odd number are held out."""
+    """A group's texts to one packed row (bucket -1), and its words with their training counts, by bucket. Groups with an odd number are held out."""
 
     def work(texts: pa.Table) -> pa.Table:
-        words, counts, kinds = group_words(texts)
-        group = texts["part"][0].as_py()
+        group, whole = texts["part"][0].as_py(), in_order(texts)
+        words, counts, kinds = group_words(whole)
         learnt = counts * (group % 2 == 0)
-        n_texts = sum(1 for _ in texts_of(texts)) * (group % 2 == 0)
         bucket = _bucket_of(words, buckets)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = []
+        out = [(-1, packed_group(whole))]
         for b in range(buckets):
             own = order[edge[b] : edge[b + 1]]
             if len(own) or b == 0:
-                head = np.array([group, b, n_texts if b == 0 else 0], np.int64)
+                head = np.array([group, b, len(whole) * (group % 2 == 0) if b == 0 else 0], np.int64)
                 out.append((b, pack(head=head, hash=words[own], learnt=learnt[own].astype(np.uint32), kind=kinds[own])))
         trim()
-        return pa.table({"part": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
+        return pa.table({"part": pa.array([group] * len(out), pa.int32()), "bucket": pa.array([b for b, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return work
 
 
+def packed_group(texts: list[tuple[int | None, bytes]]) -> bytes:
+    """As packed_texts() makes them, for texts_of()."""
+    columns = [[i or 0 for i, _ in texts], [int(i is not None) for i, _ in texts], [0] * len(texts), [len(t) for _, t in texts]]
+    body = b"".join([*(np.array(c, np.int64).tobytes() for c in columns), *(t for _, t in texts)])
+    return b"%d\n" % len(texts) + zstandard.ZstdCompressor(level=3).compress(body)
+
+
 SUMS = "what int, part int, bucket int, data binary, key bigint, x bigint, n bigint, m bigint"
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed words of buckets, summed over all groups. what 0: the counts of a group's words in a bucket, in their order;
     1: a frequent word's hash, class and count; 2: a class, its words and their tokens; 3: texts that were learnt from."""
-    heads = [unpack(b) for batch in batches for b in batch.column(1).to_pylist()]
+    heads = [unpack(b) for batch in batches for b in batch.column(2).to_pylist()]
     if not heads:
         return
     words, of = np.unique(np.concatenate([x["hash"] for x in heads]), return_inverse=True)
@@ -140,185 +158,285 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Symbols:
-    """Words with a symbol of their own (sorted hashes), their training counts, and the size of each class."""
+    """What the model tells apart.
+
+    Symbols are, in order: the top words; for each class its own words and one for its others (members); the end; and what
+    stands before a text. Outputs of the first step are the top words, the classes and the end.
+    """
 
-    hashes: np.ndarray
-    counts: np.ndarray
-    class_total: np.ndarray  # tokens + words + 1 of each class, its own symbols' words taken out
-    class_tokens: np.ndarray
-    ends: int
+    hashes: np.ndarray  # of words with vectors of their own, sorted
+    symbol: np.ndarray  # of each of these
+    top: int
+    first: np.ndarray  # first member of each class, and their number: classes + 1
+    counts: np.ndarray  # training tokens of each symbol but the last
+    class_total: np.ndarray  # tokens + words + 1 of each class's others
     tokens: int  # N
     distinct: int  # V
 
     @property
-    def size(self) -> int:
-        return len(self.hashes) + CLASSES + 1
+    def members(self) -> int:
+        return int(self.first[-1])
 
     @property
     def end(self) -> int:
-        return self.size - 1
+        return self.top + self.members
+
+    @property
+    def ends(self) -> int:
+        return int(self.counts[-1])
 
     @classmethod
     def of(cls, sums: DataFrame) -> Symbols:
         """From the rows of _sums: WORDS words, and one row for each class."""
-        top = sums.where("what = 1").orderBy(F.col("n").desc(), "key").limit(WORDS).collect()
+        found = sums.where("what = 1").orderBy(F.col("n").desc(), "key").limit(WORDS).select("key", "x", "n").collect()
         classes = np.zeros((CLASSES, 2), np.int64)
         for r in sums.where("what = 2").groupBy("key").agg(F.sum("n").alias("words"), F.sum("m").alias("tokens")).collect():
             classes[r.key] = r.words, r.tokens
         ends = int(sums.where("what = 3").agg(F.sum("m")).first()[0] or 0)
-        hashes = np.array([r.key for r in top], np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        counts = np.array([r.n for r in top], np.int64)
-        distinct, tokens = int(classes[:, 0].sum()) + (ends > 0), int(classes[:, 1].sum()) + ends
-        for r in top:
-            classes[int(r.x)] -= 1, r.n
-        return cls(hashes[order], counts[order], classes.sum(axis=1) + 1, classes[:, 1], ends, tokens, distinct)
+        return cls.made(np.array([tuple(r) for r in found], np.int64).reshape(-1, 3), classes, ends)
 
-    def unigram(self) -> np.ndarray:
-        n = np.concatenate((self.counts, self.class_tokens, [self.ends])) + 1.0
-        return n / n.sum()
+    @classmethod
+    def made(cls, words: np.ndarray, classes: np.ndarray, ends: int) -> Symbols:
+        """words: (hash, class, count) of the most frequent ones in order; classes: (words, tokens) of all words of each."""
+        top = min(TOP, len(words))
+        distinct, tokens = int(classes[:, 0].sum()) + (ends > 0), int(classes[:, 1].sum()) + ends
+        others = classes - np.stack([np.bincount(words[:, 1], minlength=CLASSES), np.bincount(words[:, 1], words[:, 2], minlength=CLASSES)], axis=1).astype(np.int64)
+        kind = words[top:, 1]
+        size = np.bincount(kind, minlength=CLASSES) + 1  # the last member is a class's other words
+        first = np.concatenate(([0], np.cumsum(size)))
+        order = np.argsort(kind, kind="stable")
+        member = np.empty(len(kind), np.int64)
+        member[order] = np.arange(len(kind)) + kind[order]  # behind the last members of the classes before
+        symbol = np.concatenate((np.arange(top), top + member))
+        counts = np.zeros(top + int(first[-1]) + 1, np.int64)
+        counts[symbol] = words[:, 2]
+        counts[top + first[1:] - 1] = others[:, 1]
+        counts[-1] = ends
+        hashes = words[:, 0].copy().view(np.uint64)
+        by_hash = np.argsort(hashes)
+        return cls(hashes[by_hash], symbol[by_hash], top, first, counts, others.sum(axis=1) + 1, tokens, distinct)
 
     def of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        other = self.top + self.first[1:][word_class(data, start, end)] - 1
         if not len(self.hashes):
-            return word_class(data, start, end)
+            return other
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == hashes, place, len(self.hashes) + word_class(data, start, end))
+        return np.where(self.hashes[place] == hashes, self.symbol[place], other)
 
-    def sequences(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, text, contexts) of every token, the ends included; a context before the text's start is ``size``."""
-        start, end, hashes = word_table(data, at, ~SPACES)
+    def sequences(self, data: np.ndarray, at: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol, text, contexts) of every token, the ends included; a context before the text's start is ``end + 1``."""
+        start, end, hashes = words or word_table(data, at, ~SPACES)
         n = len(at) - 1
         of = owners(start, at)
         place = np.arange(len(start)) + of  # an end stands behind the words of each text
-        total = np.full(len(start) + n, self.end)
+        total = np.full(len(start) + n, self.end, np.int32)
         total[place] = self.of_words(data, start, end, hashes)
-        text = np.repeat(np.arange(n), np.bincount(of, minlength=n) + 1)
-        first = np.searchsorted(text, text)
+        size = np.bincount(of, minlength=n) + 1
+        text = np.repeat(np.arange(n, dtype=np.int32), size)
+        first = np.repeat(np.cumsum(size) - size, size)
         spot = np.arange(len(total))
-        context = np.stack([np.where(spot - j >= first, total[np.maximum(spot - j, 0)], self.size) for j in range(1, CONTEXT + 1)], axis=1)
-        return total.astype(np.int16), text.astype(np.int32), context.astype(np.int16)
+        context = np.full((len(total), CONTEXT), self.end + 1, np.int32)
+        for j in range(1, CONTEXT + 1):
+            own = spot - j >= first
+            context[own, j - 1] = total[spot[own] - j]
+        return total, text, context
+
 
+def in_turn(index: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers from -1 up; NumPy sorts 16 bits by radix."""
+    return np.argsort((index + 1).astype(np.uint16) if len(index) and index.max() < 65_535 else index, kind="stable")
 
-def add_rows(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the total's row of its index; rows of one index are summed first."""
-    order = np.argsort(index, kind="stable")
+
+def summed_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices, and the sum of the rows of each."""
+    order = in_turn(index)
     ordered = index[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    total[ordered[first]] += np.add.reduceat(rows[order], first, axis=0)
+    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+class Softmax:
+    """Output vectors and biases of one step, and their gradients by noise-contrastive estimation."""
+
+    def __init__(self, counts: np.ndarray):
+        self.noise = (counts + 1.0) / (counts + 1.0).sum()
+        self.cumulative = np.cumsum(self.noise)
+        self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
+
+    def gradients(self, q: np.ndarray, y: np.ndarray, out: np.ndarray, bias: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the predictions, the vectors and the biases, for targets y, with NOISE symbols drawn for all of them."""
+        drawn = np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE)), len(out) - 1)
+        real = np.einsum("bd,bd->b", q, out[y]) + bias[y] - self.log_noise[y]
+        fake = q @ out[drawn].T + (bias[drawn] - self.log_noise[drawn])
+        g_real = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # of log sigmoid(real)
+        g_fake = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # of log sigmoid(-fake)
+        g_q = g_real[:, None] * out[y] + g_fake @ out[drawn]
+        g_out, g_bias = np.zeros_like(out), np.bincount(y, g_real, minlength=len(bias)).astype(np.float32)
+        own, rows = summed_rows(y, g_real[:, None] * q)
+        g_out[own] = rows
+        np.add.at(g_out, drawn, g_fake.T @ q)
+        np.add.at(g_bias, drawn, g_fake.sum(axis=0))
+        return g_q, g_out, g_bias
 
 
 class LogBilinear:
     """Parameters of the model, their training by noise-contrastive estimation, and normalised predictions."""
 
-    def __init__(self, unigram: np.ndarray, dimensions: int = DIMENSIONS, seed: int = SEED):
-        rng, n = np.random.default_rng(seed), len(unigram)
-        self.noise = unigram
+    def __init__(self, symbols: Symbols, dimensions: int = DIMENSIONS, seed: int = SEED):
+        rng, top, first = np.random.default_rng(seed), symbols.top, symbols.first
+        self.top, self.first, self.end = top, first, symbols.end
+        of_class = np.add.reduceat(symbols.counts[top:-1], first[:-1])
+        self.outputs = top + CLASSES + 1
+        #: Output of the first step of each symbol, and its class or -1.
+        self.kind = np.concatenate((np.full(top, -1), np.repeat(np.arange(CLASSES), np.diff(first)), [-1]))
+        self.output = np.concatenate((np.arange(top), top + self.kind[top:-1], [self.outputs - 1]))
+        self.head = Softmax(np.concatenate((symbols.counts[:top], of_class, symbols.counts[-1:])))
+        self.tails = [Softmax(symbols.counts[top + a : top + b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.values = [small(n + 1, dimensions), np.stack([np.eye(dimensions, dtype=np.float32) / CONTEXT] * CONTEXT), small(n, dimensions), np.log(unigram).astype(np.float32)]
+        self.values = [
+            small(symbols.end + 2, dimensions),  # of contexts
+            np.stack([np.eye(dimensions, dtype=np.float32) / CONTEXT] * CONTEXT),  # of places
+            small(self.outputs, dimensions),
+            np.log(self.head.noise).astype(np.float32),
+            small(symbols.members, dimensions),
+            np.concatenate([np.log(t.noise) for t in self.tails]).astype(np.float32),
+        ]
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         seen, places = self.values[0], self.values[1]
         return sum(seen[context[:, j]] @ places[j] for j in range(CONTEXT))
 
     def train(self, target: np.ndarray, context: np.ndarray, rng: np.random.Generator, state: dict) -> None:
-        """One pass over tokens, STEP at a time, each with NOISE symbols drawn for all of its tokens. Adam steps."""
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        """One pass over tokens: the first step STEP at a time, then the members of each class. Vectors and matrices of the
+        contexts learn from the first step. Adam steps, but for the rows of contexts and members, which take Adagrad's."""
+        seen, places = self.values[0], self.values[1]
+        if not state:
+            state |= {"t": 0, "seen": np.full(len(seen), 1e-8, np.float32), "tail": np.full(len(self.values[4]), 1e-8, np.float32), "m": [0.0] * 3, "v": [0.0] * 3}
+        output = self.output[target]
         for i in range(0, len(target), STEP):
-            y, c = target[i : i + STEP], context[i : i + STEP]
-            seen, places, out, bias = self.values
-            drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
+            y, c = output[i : i + STEP], context[i : i + STEP]
             inner = [seen[c[:, j]] for j in range(CONTEXT)]
             q = sum(inner[j] @ places[j] for j in range(CONTEXT))
-            real = np.einsum("bd,bd->b", q, out[y]) + bias[y] - log_noise[y]
-            fake = q @ out[drawn].T + (bias[drawn] - log_noise[drawn])
-            g_real = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # of log sigmoid(real)
-            g_fake = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # of log sigmoid(-fake)
-            g_q = g_real[:, None] * out[y] + g_fake @ out[drawn]
-            g_out, g_bias = np.zeros_like(out), np.bincount(y, g_real, minlength=len(bias)).astype(np.float32)
-            add_rows(g_out, y, g_real[:, None] * q)
-            np.add.at(g_out, drawn, g_fake.T @ q)
-            np.add.at(g_bias, drawn, g_fake.sum(axis=0))
-            g_seen, g_places = np.zeros_like(seen), np.zeros_like(places)
-            for j in range(CONTEXT):
-                add_rows(g_seen, c[:, j], g_q @ places[j].T)
-                g_places[j] = inner[j].T @ g_q
-            t = state["t"] = state.get("t", 0) + 1
+            g_q, g_out, g_bias = self.head.gradients(q, y, self.values[2], self.values[3], rng)
+            g_places = np.stack([inner[j].T @ g_q for j in range(CONTEXT)])
+            own, rows = summed_rows(c.T.ravel(), np.concatenate([g_q @ places[j].T for j in range(CONTEXT)]))
+            state["t"] += 1
+            t = state["t"]
             rate = 0.02 / np.sqrt(1 + t / 50)
-            for k, g in enumerate((g_seen, g_places, g_out, g_bias)):
+            for k, at, g in ((0, 1, g_places), (1, 2, g_out), (2, 3, g_bias)):
                 g = g / len(y)
-                m = state[f"m{k}"] = 0.9 * state.get(f"m{k}", 0) + 0.1 * g
-                v = state[f"v{k}"] = 0.99 * state.get(f"v{k}", 0) + 0.01 * g * g
-                self.values[k] = (self.values[k] + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                m = state["m"][k] = 0.9 * state["m"][k] + 0.1 * g
+                v = state["v"][k] = 0.99 * state["v"][k] + 0.01 * g * g
+                self.values[at] += (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+            _adagrad(seen, state["seen"], own, rows, SEEN_RATE)
+        kind = self.kind[target]
+        order = in_turn(kind)
+        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            a, b = int(self.first[k]), int(self.first[k + 1])
+            if b - a < 2:
+                continue
+            for i in range(edge[k], edge[k + 1], STEP):
+                own = order[i : min(i + STEP, edge[k + 1])]
+                out, bias = self.values[4][a:b], self.values[5][a:b]
+                _, g_out, g_bias = self.tails[k].gradients(self.predicted(context[own]), target[own] - self.top - a, out, bias, rng)
+                _adagrad(out, state["tail"][a:b], slice(None), g_out, TAIL_RATE)
+                bias += 0.5 * g_bias / len(own)
 
     def log10_probabilities(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Normalised over all symbols; equal contexts are computed once."""
-        n = len(self.noise) + 1
-        code = np.zeros(len(target), np.int64)
-        for j in range(CONTEXT):
-            code = code * n + context[:, j].astype(np.int64)
-        order = np.argsort(code, kind="stable")
-        fresh = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1]))) if len(order) else np.zeros(0, np.int64)
-        edge = np.append(fresh, len(order))
+        """Normalised over all symbols of the first step, and over the members of a class."""
+        q = self.predicted(context)
         out, bias = self.values[2], self.values[3]
-        found = np.empty(len(target))
-        for i in range(0, len(fresh), CONTEXTS_AT_ONCE):
-            k = min(i + CONTEXTS_AT_ONCE, len(fresh))
-            score = self.predicted(context[order[fresh[i:k]]]) @ out.T + bias
-            top = score.max(axis=1, keepdims=True)
-            score -= top
-            total = np.log(np.exp(score).sum(axis=1))
-            own = order[edge[i] : edge[k]]
-            which = np.repeat(np.arange(k - i), np.diff(edge[i : k + 1]))
-            found[own] = (score[which, target[own]] - total[which]) / np.log(10)
-        return found
-
-
-def _trained(symbols: Symbols, model: LogBilinear):
-    """Training rows (text) to one row for each task: parameters times tokens, and tokens."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogBilinear(symbols.unigram())
-        own.values = [v.copy() for v in model.values]
-        rng, state, n = np.random.default_rng(SEED), {}, 0
-        for _, data, at in blocks(batches, "text", BATCH_BYTES):
-            target, _, context = symbols.sequences(data, at)
-            mixed = rng.permutation(len(target))
-            own.train(target[mixed], context[mixed], rng, state)
-            n += len(target)
-        if n:
-            yield _weighted([v.astype(np.float64) * n for v in own.values], n)
+        output, found = self.output[target], np.empty(len(target))
+        for i in range(0, len(target), CONTEXTS_AT_ONCE):
+            found[i : i + CONTEXTS_AT_ONCE] = _log_softmax(q[i : i + CONTEXTS_AT_ONCE], out, bias, output[i : i + CONTEXTS_AT_ONCE])
+        kind = self.kind[target]
+        order = in_turn(kind)
+        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            a, b = int(self.first[k]), int(self.first[k + 1])
+            for i in range(edge[k], edge[k + 1], CONTEXTS_AT_ONCE) if b - a > 1 else ():
+                own = order[i : min(i + CONTEXTS_AT_ONCE, edge[k + 1])]
+                found[own] += _log_softmax(q[own], self.values[4][a:b], self.values[5][a:b], target[own] - self.top - a)
+        return found / np.log(10)
+
+
+#: Rates of the context vectors and of the members' vectors.
+SEEN_RATE, TAIL_RATE = 0.03, 0.03
+
+
+def _adagrad(values: np.ndarray, total: np.ndarray, own: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
+    """A step for some rows, each with one sum of squares."""
+    total[own] += (g * g).mean(axis=1)
+    values[own] += rate * g / np.sqrt(total[own])[:, None]
+
+
+def _log_softmax(q: np.ndarray, out: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the normalised probability of each row's target."""
+    score = q @ out.T + bias
+    most = np.sqrt((q * q).sum(axis=1).max() * (out * out).sum(axis=1).max()) + np.abs(bias).max()
+    if not most < 70:  # else float32 holds all powers and their sums
+        score -= score.max(axis=1, keepdims=True)
+    own = score[np.arange(len(target)), target]
+    np.exp(score, out=score)
+    return own - np.log(score @ np.ones(score.shape[1], np.float32))
+
+
+def _trained(symbols: Symbols):
+    """A replica's groups (replica, part, data) to its number, and its parameters with their weights."""
+
+    def work(groups: pa.Table) -> pa.Table:
+        own, rng, state = LogBilinear(symbols), np.random.default_rng(SEED), {}
+        as_context, as_target = np.zeros(symbols.end + 2), np.zeros(symbols.end + 1)
+        for k in np.argsort(groups["part"].to_numpy()).tolist():
+            for _, data, at in text_blocks([(i, t) for i, _, t in texts_of(groups.slice(k, 1))]):
+                target, _, context = symbols.sequences(data, at)
+                mixed = rng.permutation(len(target))
+                own.train(target[mixed], context[mixed], rng, state)
+                as_context += np.bincount(context.ravel(), minlength=len(as_context))
+                as_target += np.bincount(target, minlength=len(as_target))
+        of_output = np.bincount(own.output, as_target, minlength=own.outputs)
+        members = as_target[symbols.top : -1]
+        weights = [w + 1e-3 for w in (as_context, np.full(CONTEXT, as_target.sum()), of_output, of_output, members, members)]
+        trim()
+        return _replica(groups["replica"][0].as_py(), [v * w.reshape(-1, *[1] * (v.ndim - 1)) for v, w in zip(own.values, weights, strict=True)], weights)
 
     return work
 
 
-def _weighted(values: list[np.ndarray], n: int) -> pa.RecordBatch:
-    flat = np.concatenate([v.ravel() for v in values])
-    return pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["data", "n"])
+def _replica(number: int, values: list[np.ndarray], weights: list[np.ndarray]) -> pa.Table:
+    flat = np.concatenate([x.ravel() for x in (*values, *weights)]).astype(np.float64)
+    return pa.table({"replica": pa.array([number], pa.int32()), "data": pa.array([flat.tobytes()], pa.binary())})
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
-    for batch in batches:
-        for data, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(data, np.float64)
-            total, n = x.copy() if total is None else total + x, n + k
-    if n:
-        yield _weighted([total], n)
+def _added(replicas: pa.Table) -> pa.Table:
+    """Parameters of some replicas, added in the order of their numbers."""
+    total = None
+    for k in np.argsort(replicas["replica"].to_numpy()).tolist():
+        x = np.frombuffer(replicas["data"][k].as_py(), np.float64)
+        total = x.copy() if total is None else total + x
+    return pa.table({"replica": pa.array([replicas["into"][0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(texts: DataFrame, symbols: Symbols, rounds: int = 1) -> LogBilinear:
-    """Rounds of training on all texts (column text), with the average of all tasks' parameters after each."""
-    model = LogBilinear(symbols.unigram())
-    for _ in range(rounds):
-        own = texts.mapInArrow(_trained(symbols, model), "data binary, n bigint")
-        middle = max(1, round(tasks(texts.sparkSession) ** 0.5))
-        summed = own.repartition(middle).mapInArrow(_added, "data binary, n bigint").repartition(1).mapInArrow(_added, "data binary, n bigint").collect()
-        if not summed:
+def fit(groups: DataFrame, symbols: Symbols, n_groups: int) -> LogBilinear:
+    """Trains on groups of texts (part, data), with the average of all replicas' parameters. Parts with an odd number are left out."""
+    model = LogBilinear(symbols)
+    parts = groups.where("part % 2 = 0").withColumn("replica", F.expr(f"cast(floor(part / {2 * REPLICA_GROUPS}) as int)"))
+    own = parts.groupBy("replica").applyInArrow(_trained(symbols), "replica int, data binary")
+    n = -(-n_groups // REPLICA_GROUPS)
+    while True:
+        own = own.withColumn("into", F.expr(f"cast(floor(replica / {ADDED_AT_ONCE}) as int)")).groupBy("into").applyInArrow(_added, "replica int, data binary")
+        n = -(-n // ADDED_AT_ONCE)
+        if n <= 1:
             break
-        flat, at = np.frombuffer(summed[0].data, np.float64) / summed[0].n, 0
+    summed = own.collect()
+    if summed:
+        flat, at = np.frombuffer(summed[0].data, np.float64), 0
+        sizes = [v.size for v in model.values] + [len(v) for v in model.values]
+        parts_ = np.split(flat, np.cumsum(sizes)[:-1])
+        half = len(model.values)
         for k, v in enumerate(model.values):
-            model.values[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+            model.values[k] = (parts_[k].reshape(v.shape) / parts_[half + k].reshape(-1, *[1] * (v.ndim - 1))).astype(np.float32)
     return model
 
 
@@ -329,11 +447,12 @@ def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
     """A group's texts, and the counts of its words, to their scores."""
 
     def work(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        n_words = len(symbols.hashes)
-        # What a symbol adds besides its probability: nothing of its own word; a class's size.
-        share = np.concatenate((np.zeros(n_words), -np.log10(symbols.class_total), [0.0]))
-        own = np.concatenate((np.log10(symbols.counts + 1.0), np.zeros(CLASSES), [np.log10(symbols.ends + 1.0)]))
-        words, _, _ = group_words(texts)
+        # What a symbol adds besides its probability: nothing of its own word; a class's share of its other words.
+        others = symbols.top + symbols.first[1:] - 1
+        own = np.log10(symbols.counts + 1.0)
+        own[others] = np.log10(symbols.class_total)
+        whole = [(i, t) for i, _, t in texts_of(texts)]
+        words, _, _ = group_words(whole)
         count = np.zeros(len(words), np.int64)
         bucket = _bucket_of(words, buckets)
         order = np.argsort(bucket, kind="stable")
@@ -344,15 +463,14 @@ def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
         base = np.log10(symbols.tokens + symbols.distinct + 1)
         held = texts.num_rows > 0 and texts["part"][0].as_py() % 2 == 1
         out: list[tuple[np.ndarray | list, ...]] = []
-        for ids, data, at in text_blocks(texts):
-            n = len(ids)
-            start, _, hashes = word_table(data, at, ~SPACES)
-            of, place = owners(start, at), np.searchsorted(words, hashes)
+        for ids, data, at in text_blocks(whole):
+            n, table = len(ids), word_table(data, at, ~SPACES)
+            of, place = owners(table[0], at), np.searchsorted(words, table[2])
             sums_ = np.bincount(of, log_count[place], minlength=n) + np.log10(symbols.ends + 1.0)
             known = np.bincount(of, count[place] > 0, minlength=n).astype(np.int64) + (symbols.ends > 0)
-            target, text, context = symbols.sequences(data, at)
+            target, text, context = symbols.sequences(data, at, table)
             tokens = np.bincount(text, minlength=n)
-            model_part = np.bincount(text, model.log10_probabilities(target, context) + share[target] - own[target], minlength=n)
+            model_part = np.bincount(text, model.log10_probabilities(target, context) - own[target], minlength=n)
             out.append((ids, tokens, known, sums_ - tokens * base, sums_ + model_part))
         columns = [sum((list(x[k]) for x in out), []) for k in range(5)]
         trim()
@@ -369,22 +487,23 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str
 
     The rows that ``held`` does not mark are learnt from. Null and empty texts are one token, the end. Without any
     row to learn from, nothing is known and the base scores are 0. Repeated rows count as often as they stand, and each
-    has its result. Other columns than these two, and those of ``held``, are not read.
+    has its result. An empty table gives no rows. A text must fit in a Python worker's memory some thirty times over,
+    whatever its length. Other columns than these two, and those of ``held``, are not read. How the rows are cut into
+    partitions changes no score; their total bytes decide the number of groups, and so which texts train together.
     """
     if dict(docs.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("ids must be whole numbers")
     total = docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets, groups = max(8, -(-total // BUCKET_BYTES)), max(8, -(-total // GROUP_BYTES))
+    buckets, groups = max(8, -(-total // BUCKET_BYTES)), max(1, -(-total // GROUP_BYTES))
     ident, body = F.col(id_col).cast("long"), F.col(text).cast("string")
     group = 2 * F.pmod(F.xxhash64(ident, body), F.lit(groups)) + F.coalesce(held, F.lit(False)).cast("int")
     rows = docs.select(ident.alias("id"), F.lit(0).cast("long").alias("row"), group.cast("int").alias("part"), F.coalesce(body, F.lit("")).alias("text"))
-    packed = "part int, data binary"
-    texts = rows.mapInArrow(packed_texts, packed)
-    words = texts.groupBy("part").applyInArrow(_counted(buckets), packed)
-    sums = stored(words.repartitionById(buckets, F.col("part")).mapInArrow(_sums, SUMS))
+    counted = stored(rows.mapInArrow(packed_texts, "part int, data binary").groupBy("part").applyInArrow(_counted(buckets), GROUPED))
     release(docs.sparkSession)
+    texts = counted.where("bucket = -1").select("part", "data")
+    sums = stored(counted.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_sums, SUMS))
     symbols = Symbols.of(sums)
-    model = fit(rows.where("part % 2 = 0").select("text"), symbols)
+    model = fit(texts, symbols, groups)
     counts = sums.where("what = 0").select("part", "bucket", "data")
     return texts.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(_scored(symbols, model, buckets), SCORED)
 
