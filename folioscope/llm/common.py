@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import glob
+import os
 import re
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +99,16 @@ def trim() -> None:
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+@cache
+def one_thread() -> None:
+    """One thread for NumPy's matrix products in this worker: tasks are the parallelism, and waiting threads take CPU."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): runs of rows whose texts hold about ``most`` bytes together; a longer text comes alone."""
     for batch in batches:

@@ -9,13 +9,14 @@ largest cosine with it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, read, trim
+from .common import crc32_of, one_thread, read, trim
 
 UNKNOWN = "und"
 DIMENSIONS = 512
@@ -43,10 +44,15 @@ def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS, seed: int =
     """A row of +1 and -1 for each code point; 0 stands for the space between words."""
     out = np.empty((len(points), dimensions), np.int8)
     for i, p in enumerate(points.tolist()):
-        out[i] = np.random.default_rng([seed, p]).integers(0, 2, dimensions, np.int8) * 2 - 1
+        out[i] = _letter_vector(p, dimensions, seed)
     return out
 
 
+@lru_cache(1 << 14)
+def _letter_vector(point: int, dimensions: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, point]).integers(0, 2, dimensions, np.int8) * 2 - 1
+
+
 def text_vectors(texts: list[str | None], dimensions: int = DIMENSIONS, gram: int = GRAM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """The bundled vectors of the texts, and how many letters each has. Whole texts, a bounded number of letters at a time."""
     total = np.zeros((len(texts), dimensions), np.float64)
@@ -134,6 +140,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", dimension
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -160,11 +167,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     """(id, lang_pred, score) for each row: the language with the largest cosine (of equals the first by name), and that cosine, 0 at least.
 
     Null, empty and letterless texts are ``und`` with score 0, and so is every text if there is no prototype. Repeated
-    rows give repeated rows. Other columns than these two are not read.
+    rows give repeated rows, an empty table none. A text is read as a whole, whatever its length: a Python worker must
+    hold it some twenty times over. Other columns than these two are not read.
     """
     names, prototypes = model
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)

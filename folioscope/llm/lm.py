@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, crc32_of, owners, read, release, stored, trim, word_table
+from .common import LOWER, SPACES, crc32_of, one_thread, owners, read, release, stored, trim, word_table
 from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
 #: Words with vectors of their own: the size of the model. The most frequent of them are told apart in the first step.
@@ -268,8 +268,9 @@ class Softmax:
         drawn = np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE)), len(out) - 1)
         real = np.einsum("bd,bd->b", q, out[y]) + bias[y] - self.log_noise[y]
         fake = q @ out[drawn].T + (bias[drawn] - self.log_noise[drawn])
-        g_real = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # of log sigmoid(real)
-        g_fake = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))  # of log sigmoid(-fake)
+        with np.errstate(over="ignore"):
+            g_real = 1 / (1 + np.exp(real))  # of log sigmoid(real)
+            g_fake = -1 / (1 + np.exp(-fake))  # of log sigmoid(-fake)
         g_q = g_real[:, None] * out[y] + g_fake @ out[drawn]
         g_out, g_bias = np.zeros_like(out), np.bincount(y, g_real, minlength=len(bias)).astype(np.float32)
         own, rows = summed_rows(y, g_real[:, None] * q)
@@ -285,6 +286,7 @@ class LogBilinear:
     def __init__(self, symbols: Symbols, dimensions: int = DIMENSIONS, seed: int = SEED):
         rng, top, first = np.random.default_rng(seed), symbols.top, symbols.first
         self.top, self.first, self.end = top, first, symbols.end
+        self.placed: list[np.ndarray] | None = None  # context vectors through the matrix of each place, for predictions
         of_class = np.add.reduceat(symbols.counts[top:-1], first[:-1])
         self.outputs = top + CLASSES + 1
         #: Output of the first step of each symbol, and its class or -1.
@@ -303,20 +305,22 @@ class LogBilinear:
         ]
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        seen, places = self.values[0], self.values[1]
-        return sum(seen[context[:, j]] @ places[j] for j in range(CONTEXT))
+        if self.placed is None:
+            self.placed = [self.values[0] @ place for place in self.values[1]]
+        return sum(self.placed[j][context[:, j]] for j in range(CONTEXT))
 
     def train(self, target: np.ndarray, context: np.ndarray, rng: np.random.Generator, state: dict) -> None:
         """One pass over tokens: the first step STEP at a time, then the members of each class. Vectors and matrices of the
         contexts learn from the first step. Adam steps, but for the rows of contexts and members, which take Adagrad's."""
-        seen, places = self.values[0], self.values[1]
+        seen, places, self.placed = self.values[0], self.values[1], None
         if not state:
             state |= {"t": 0, "seen": np.full(len(seen), 1e-8, np.float32), "tail": np.full(len(self.values[4]), 1e-8, np.float32), "m": [0.0] * 3, "v": [0.0] * 3}
-        output = self.output[target]
+        output, said = self.output[target], np.empty((len(target), places.shape[2]), np.float32)
         for i in range(0, len(target), STEP):
             y, c = output[i : i + STEP], context[i : i + STEP]
             inner = [seen[c[:, j]] for j in range(CONTEXT)]
             q = sum(inner[j] @ places[j] for j in range(CONTEXT))
+            said[i : i + STEP] = q
             g_q, g_out, g_bias = self.head.gradients(q, y, self.values[2], self.values[3], rng)
             g_places = np.stack([inner[j].T @ g_q for j in range(CONTEXT)])
             own, rows = summed_rows(c.T.ravel(), np.concatenate([g_q @ places[j].T for j in range(CONTEXT)]))
@@ -339,7 +343,7 @@ class LogBilinear:
             for i in range(edge[k], edge[k + 1], STEP):
                 own = order[i : min(i + STEP, edge[k + 1])]
                 out, bias = self.values[4][a:b], self.values[5][a:b]
-                _, g_out, g_bias = self.tails[k].gradients(self.predicted(context[own]), target[own] - self.top - a, out, bias, rng)
+                _, g_out, g_bias = self.tails[k].gradients(said[own], target[own] - self.top - a, out, bias, rng)
                 _adagrad(out, state["tail"][a:b], slice(None), g_out, TAIL_RATE)
                 bias += 0.5 * g_bias / len(own)
 
@@ -386,6 +390,7 @@ def _trained(symbols: Symbols):
     """A replica's groups (replica, part, data) to its number, and its parameters with their weights."""
 
     def work(groups: pa.Table) -> pa.Table:
+        one_thread()
         own, rng, state = LogBilinear(symbols), np.random.default_rng(SEED), {}
         as_context, as_target = np.zeros(symbols.end + 2), np.zeros(symbols.end + 1)
         for k in np.argsort(groups["part"].to_numpy()).tolist():
@@ -447,12 +452,15 @@ def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
     """A group's texts, and the counts of its words, to their scores."""
 
     def work(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        one_thread()
         # What a symbol adds besides its probability: nothing of its own word; a class's share of its other words.
         others = symbols.top + symbols.first[1:] - 1
         own = np.log10(symbols.counts + 1.0)
         own[others] = np.log10(symbols.class_total)
         whole = [(i, t) for i, _, t in texts_of(texts)]
-        words, _, _ = group_words(whole)
+        words = np.zeros(0, np.uint64)
+        for _, data, at in text_blocks(whole):
+            words = np.unique(np.concatenate((words, word_table(data, at, ~SPACES)[2])))
         count = np.zeros(len(words), np.int64)
         bucket = _bucket_of(words, buckets)
         order = np.argsort(bucket, kind="stable")

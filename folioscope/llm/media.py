@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read
+from .common import blocks, one_thread, read
 from .jpeg import decode_coefficients, encode_images, rgb_tensor
 
 #: Bytes of text, and of media, that are coded together.
@@ -36,7 +36,11 @@ def media_of(payloads: list[np.ndarray]) -> list[bytes]:
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, media) for each row: the text's UTF-8 bytes as a progressive JPEG. Null counts as empty."""
+    """(id, n_bytes, media) for each row: the text's UTF-8 bytes as a progressive JPEG. Null counts as empty.
+
+    Equal texts have equal media; repeated rows give repeated rows; other columns are not read; an empty table gives no
+    rows. A text is never cut: a longer one makes a larger image, up to what a Python worker holds some fifty times over.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,13 +62,31 @@ def feature_of(tensor: np.ndarray) -> str:
     return f"{width}x{height} rgb {means[0]} {means[1]} {means[2]} steps {int(1000 * across // (height * width))} {int(1000 * down // (height * width))}"
 
 
-def _read(media: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Payload and tensor of each image."""
-    images, coefficients = decode_coefficients(media)
-    for image in images:
-        n = int(image.comment.removeprefix(b"payload ")) // UNIT if image.comment.startswith(b"payload ") else 0
-        base = image.components[0].base
-        yield (coefficients[base : base + n] + 128).astype(np.uint8).tobytes(), rgb_tensor(image, coefficients)
+#: What decoding raises on damaged files.
+DAMAGE = (ArithmeticError, LookupError, TypeError, ValueError)
+
+
+def _read(media: list[bytes | None]) -> Iterator[tuple[bytes, np.ndarray] | None]:
+    """Payload and tensor of each image; nothing for nulls and for files that cannot be decoded."""
+    known = [m for m in media if m is not None]
+    try:
+        whole = decode_coefficients(known) if known else None
+    except DAMAGE:
+        whole = None  # one by one, then
+    at = 0
+    for m in media:
+        found = None
+        if m is not None:
+            try:
+                images, coefficients = whole or decode_coefficients([m])
+                image = images[at if whole else 0]
+                n = int(image.comment.removeprefix(b"payload ")) // UNIT if image.comment.startswith(b"payload ") else 0
+                base = image.components[0].base
+                found = (coefficients[base : base + n] + 128).astype(np.uint8).tobytes(), rgb_tensor(image, coefficients)
+            except DAMAGE:
+                found = None
+            at += 1
+        yield found
 
 
 def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -79,14 +101,18 @@ def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch
 
 
 def media_tensors(media: DataFrame, id_col: str = "id", column: str = "media") -> DataFrame:
-    """(id, height, width, rgb) for each row with media: full-resolution RGB samples, row by row. Null media gives nulls."""
+    """(id, height, width, rgb) for each row: full-resolution RGB samples, row by row. Null and damaged media give nulls.
+
+    Repeated rows give repeated rows; other columns are not read; an empty table gives no rows. An image must fit in a
+    Python worker's memory some twenty times over, uncompressed.
+    """
     kind = dict(media.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for rows, own in _groups(batch, 1):
-                found = iter([t for _, t in _read([m for m in own if m is not None])])
-                tensors = [next(found) if m is not None else None for m in own]
+                tensors = [None if x is None else x[1] for x in _read(own)]
                 shape = lambda k: pa.array([None if t is None else t.shape[k] for t in tensors], pa.int32())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([rows.column(0), shape(0), shape(1), pa.array([None if t is None else t.tobytes() for t in tensors], pa.binary())], ["id", "height", "width", "rgb"])
 
@@ -97,16 +123,21 @@ READ = "id {}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail
 
 
 def media_features(media: DataFrame, id_col: str = "id") -> DataFrame:
-    """What the media of media_column() holds, read back from its bytes, and features of its tensor. Repeated rows give repeated rows."""
+    """What the media of media_column() holds, read back from its bytes, and features of its tensor. Repeated rows give repeated rows.
+
+    Null media gives nulls; damaged media only its size and digest. Other columns are not read; an empty table gives no
+    rows; texts as long as in media_column().
+    """
     kind = dict(media.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for rows, own in _groups(batch, 2):
-                found = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), feature_of(t)) for p, t in _read(own)]
+                found = [(None,) * 4 if x is None else (len(x[0]), hashlib.sha256(x[0]).hexdigest(), zlib.crc32(x[0][-UNIT:]), feature_of(x[1])) for x in _read(own)]
                 size, digest, tail, feature = (list(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(size, pa.int64()), pa.array(digest), pa.array(tail, pa.int64()), pa.array([len(m) for m in own], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in own]), pa.array(feature)],
+                    [rows.column(0), rows.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(tail, pa.int64()), pa.array([None if m is None else len(m) for m in own], pa.int64()), pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in own], pa.string()), pa.array(feature, pa.string())],
                     ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 

@@ -1,4 +1,9 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from folioscope.llm import langid as L
 
@@ -35,3 +40,37 @@ def test_odd_rows(odd, none):
     empty = L.train(none)
     assert empty[0] == [] and {r.lang_pred for r in L.identify(odd, empty).collect()} == {"und"}
     assert L.identify(none, model).count() == 0
+
+
+def brute(rows):
+    """(lang, score) by id, with a dictionary of n-gram counts and one bound vector for each n-gram."""
+    grams, bound = {}, {}
+    for i, text, _ in rows:
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        words = re.findall("[^ ]+", letters)
+        line = [0, *(ord(c) for c in " ".join(words)), 0] if words else []
+        line = [0 if p == 32 else p for p in line]
+        grams[i] = Counter(zip(line, line[1:], line[2:], strict=False))
+        for g in grams[i]:
+            if g not in bound:
+                a, b, c = L.letter_vectors(np.array(g), L.DIMENSIONS).astype(int)
+                bound[g] = np.roll(a, 2) * np.roll(b, 1) * c
+    whole = {i: sum((n * bound[g] for g, n in own.items()), np.zeros(L.DIMENSIONS)) for i, own in grams.items()}
+    size = lambda v: v / max(np.linalg.norm(v), 1e-300)
+    prototypes = {}
+    for i, _, lang in rows:
+        if lang is not None and grams[i] and zlib.crc32(str(i).encode()) % 3 != 1:
+            prototypes[lang] = prototypes.get(lang, 0) + size(whole[i])
+    out = {}
+    for i, own in grams.items():
+        near = {lang: float(size(p) @ size(whole[i])) for lang, p in prototypes.items()}
+        out[i] = max(near.items(), key=lambda x: x[1]) if own else ("und", 0.0)
+    return out
+
+
+def test_every_document_against_brute_force(spark, sf, documents):
+    want = brute([(r.doc_id, r.text, r.lang) for r in documents.collect()])
+    got = {r.doc_id: r for r in L.op6_langid(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert got[i].score == pytest.approx(max(score, 0), abs=1e-4) and (got[i].lang_pred == lang or abs(score) < 1e-4)

@@ -90,3 +90,18 @@ def test_odd_rows(odd, none):
     from pyspark.sql import functions as F
 
     assert {r.rgb for r in M.media_tensors(media.withColumn("media", F.lit(None).cast("binary"))).collect()} == {None}
+
+
+def test_null_and_damaged_media(spark):
+    whole = M.media_of([M.payload_of(np.frombuffer(x, np.uint8)) for x in (b"one", b"two" * 50)])
+    bad = [b"", b"not a picture", whole[1][:40], whole[1][: len(whole[1]) // 2], whole[0][:2] + b"\xff" * 30]
+    rows = [(i, 3, None if m is None else bytearray(m), "x") for i, m in enumerate([whole[0], None, *bad, whole[1]])]
+    df = spark.createDataFrame(rows, "id int, n_bytes bigint, media binary, height string").coalesce(1)
+    got = {r.id: r for r in M.media_features(df).collect()}
+    last = len(rows) - 1
+    assert len(got) == len(rows) and got[0].payload_bytes == 64 and got[last].payload_bytes == 192
+    assert (got[1].payload_bytes, got[1].media_bytes, got[1].feature) == (None, None, None)
+    assert all(got[i].media_bytes == len(rows[i][2]) for i in range(2, last)) and got[2].feature is None and got[3].feature is None
+    tensors = {r.id: r for r in M.media_tensors(df).collect()}
+    assert tensors[0].rgb is not None and tensors[last].rgb is not None and tensors[1].rgb is None and tensors[3].height is None
+    assert M.media_features(df.where("false")).count() == 0 and M.media_tensors(df.where("false")).count() == 0

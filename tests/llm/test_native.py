@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import duckdb
+import xxhash
 from pyspark.sql import functions as F
 
 from folioscope.llm import chat as C
@@ -105,3 +106,18 @@ def test_control_strings_over_several_parts(spark):
 def test_slots_do_not_depend_on_the_input_layout(documents):
     found = [sorted((r.doc_id, r.shard, r.slot) for r in S.shard_records(documents.repartition(n), 3, bucket_bytes=20_000).collect()) for n in (1, 6)]
     assert found[0] == found[1]
+
+
+def test_shards_are_those_of_a_plain_law(spark, sf, texts):
+    def chosen(key, shards, seed=17):
+        def weight(i):
+            h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+            for part in (i, seed):
+                h = xxhash.xxh64_intdigest(part.to_bytes(4, "little"), h)
+            return h - (1 << 64) * (h >> 63)
+
+        return max(range(shards), key=lambda i: (weight(i), -i))
+
+    got = {r.doc_id: r for r in S.op8_sharding(spark, sf).collect()}
+    for i, _ in texts:
+        assert got[i].shard == chosen(i, 8) and got[i].grown_shard == chosen(i, 9) and got[i].law == "key"

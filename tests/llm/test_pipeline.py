@@ -1,8 +1,9 @@
 import corpus_pipeline
-from folioscope.llm import decontaminate, langid, simhash, suffix_dedup
+from folioscope.llm import decontaminate, langid, suffix_dedup
 from folioscope.llm.queries import oracle_sql, queries
 
 from .test_decontaminate import brute as brute_windows
+from .test_similar import brute as brute_similar
 from .test_suffix_dedup import brute as brute_repeats
 
 
@@ -15,8 +16,7 @@ def test_stages_one_by_one(spark, sf, documents, texts):
 
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     docs = corpus_pipeline.near_dedup(spark, docs, sf).cache()
-    want = simhash.brute_components(rows)
-    assert docs.columns == columns and {r.doc_id for r in docs.collect()} == set(want.component_id)
+    assert docs.columns == columns and {r.doc_id for r in docs.collect()} == set(brute_similar(rows))
 
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     docs = corpus_pipeline.suffix_array_dedup(spark, docs, sf).cache()
