@@ -30,7 +30,7 @@ from .common import LOWER, SPACES, crc32_of, one_thread, owners, read, release,
 from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
 #: Words with vectors of their own: the size of the model. The most frequent of them are told apart in the first step.
-WORDS, TOP = 16_384, 128
+WORDS, TOP = 16_384, 64
 #: Classes of words, length of a vector, symbols that the next is predicted from.
 CLASSES, DIMENSIONS, CONTEXT = 127, 24, 3
 #: Noise symbols drawn for each step of so many tokens.
@@ -216,29 +216,31 @@ class Symbols:
         by_hash = np.argsort(hashes)
         return cls(hashes[by_hash], symbol[by_hash], top, first, counts, others.sum(axis=1) + 1, tokens, distinct)
 
-    def of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        other = self.top + self.first[1:][word_class(data, start, end)] - 1
+    def own(self, hashes: np.ndarray) -> np.ndarray:
+        """The symbol of each word that has one of its own, else -1."""
         if not len(self.hashes):
-            return other
+            return np.full(len(hashes), -1)
         place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == hashes, self.symbol[place], other)
+        return np.where(self.hashes[place] == hashes, self.symbol[place], -1)
 
-    def sequences(self, data: np.ndarray, at: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol, text, contexts) of every token, the ends included; a context before the text's start is ``end + 1``."""
+    def sequences(self, data: np.ndarray, at: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol, text, contexts) of every token, the ends included; a context before the text's start is ``end + 1``. ``words`` and ``own`` are given if known."""
         start, end, hashes = words or word_table(data, at, ~SPACES)
+        own = self.own(hashes) if own is None else own
+        symbol = np.where(own >= 0, own, self.top + self.first[1:][word_class(data, start, end)] - 1)
         n = len(at) - 1
         of = owners(start, at)
         place = np.arange(len(start)) + of  # an end stands behind the words of each text
         total = np.full(len(start) + n, self.end, np.int32)
-        total[place] = self.of_words(data, start, end, hashes)
+        total[place] = symbol
         size = np.bincount(of, minlength=n) + 1
         text = np.repeat(np.arange(n, dtype=np.int32), size)
         first = np.repeat(np.cumsum(size) - size, size)
         spot = np.arange(len(total))
         context = np.full((len(total), CONTEXT), self.end + 1, np.int32)
         for j in range(1, CONTEXT + 1):
-            own = spot - j >= first
-            context[own, j - 1] = total[spot[own] - j]
+            inside = spot - j >= first
+            context[inside, j - 1] = total[spot[inside] - j]
         return total, text, context
 
 
@@ -458,25 +460,24 @@ def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
         own = np.log10(symbols.counts + 1.0)
         own[others] = np.log10(symbols.class_total)
         whole = [(i, t) for i, _, t in texts_of(texts)]
-        words = np.zeros(0, np.uint64)
-        for _, data, at in text_blocks(whole):
-            words = np.unique(np.concatenate((words, word_table(data, at, ~SPACES)[2])))
+        tables = [word_table(data, at, ~SPACES) for _, data, at in text_blocks(whole)]
+        words, places = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t[2] for t in tables)]), return_inverse=True)
+        placed = np.split(places, np.cumsum([len(t[2]) for t in tables])[:-1])
         count = np.zeros(len(words), np.int64)
         bucket = _bucket_of(words, buckets)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b, data in zip(sums["bucket"].to_pylist(), sums["data"].to_pylist(), strict=True):
             count[order[edge[b] : edge[b + 1]]] = unpack(data)["count"]
-        log_count = np.log10(count + 1.0)
+        log_count, own_symbol = np.log10(count + 1.0), symbols.own(words)
         base = np.log10(symbols.tokens + symbols.distinct + 1)
         held = texts.num_rows > 0 and texts["part"][0].as_py() % 2 == 1
         out: list[tuple[np.ndarray | list, ...]] = []
-        for ids, data, at in text_blocks(whole):
-            n, table = len(ids), word_table(data, at, ~SPACES)
-            of, place = owners(table[0], at), np.searchsorted(words, table[2])
+        for (ids, data, at), table, place in zip(text_blocks(whole), tables, placed, strict=True):
+            n, of = len(ids), owners(table[0], at)
             sums_ = np.bincount(of, log_count[place], minlength=n) + np.log10(symbols.ends + 1.0)
             known = np.bincount(of, count[place] > 0, minlength=n).astype(np.int64) + (symbols.ends > 0)
-            target, text, context = symbols.sequences(data, at, table)
+            target, text, context = symbols.sequences(data, at, table, own_symbol[place])
             tokens = np.bincount(text, minlength=n)
             model_part = np.bincount(text, model.log10_probabilities(target, context) - own[target], minlength=n)
             out.append((ids, tokens, known, sums_ - tokens * base, sums_ + model_part))

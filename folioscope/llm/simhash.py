@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read, stored
+from .common import cut, read, stored, trim
 
 #: Words that a text is cut into at a time; a longer text takes no more memory than this many.
 WORDS_AT_ONCE = 1 << 16
@@ -270,6 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 BAND_ROWS, BANDS = 5, 24
 #: Bits that a SimHash candidate differs in at most, besides the bands.
 NEAR_BITS = 3
+#: Texts whose sets are made at a time.
+ROWS_AT_ONCE = 128
 #: Shingles whose minima are taken at a time.
 SHINGLES_AT_ONCE = 4096
 _MIX = np.random.default_rng(20_240_502).integers(1, 1 << 63, (2, BAND_ROWS * BANDS), dtype=np.uint64) | np.uint64(1)
@@ -372,11 +374,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
                 found = [(_set_key(x), np.uint64(fp).view(np.int64), bands_of(x)) for x, fp in (shingle_set(t, shingle, seed) for t in part.column(1).to_pylist())]
                 key, fp, bands = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
+                trim()
 
     kept = stored(rows.mapInArrow(sketch, f"id {kind}, key bigint, fp bigint, bands array<bigint>"))
     # Rows with the same set of shingles are one node.
@@ -388,16 +391,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     shared = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
     groups = star_components(spread.join(shared, "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")))
     whole = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct()
-    wanted = nodes.join(whole.withColumnRenamed("node", "key"), "key").withColumnRenamed("least", "__least")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("__least"))).select("root", "key", "bands", "text")
+    # The bands are made anew from the texts that are wanted, so that the list of these stays narrow.
+    wanted = nodes.select("key", F.col("least").alias("__least"), F.element_at("bands", -1).alias("near")).join(whole.withColumnRenamed("node", "key"), "key")
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("__least"))).select("root", "key", "near", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
                 found = [shingle_set(t, shingle, seed)[0] for t in part.column(3).to_pylist()]
+                bands = [[*bands_of(x), n] for x, n in zip(found, part.column(2).to_pylist(), strict=True)]
                 own = pa.array([_set_key(x) == k for x, k in zip(found, part.column(1).to_pylist(), strict=True)])  # an id may stand in other rows too
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in found], pa.binary())], ["root", "key", "bands", "data"]).filter(own)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())], ["root", "key", "bands", "data"]).filter(own)
+                trim()
 
     def verified(table: pa.Table) -> pa.Table:
         keys, first = np.unique(table["key"].to_numpy(), return_index=True)
