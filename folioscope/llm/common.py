@@ -240,4 +240,4 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # what the first round frees may hold more
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.2)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, read, stored, trim
+from .common import cut, read, release, stored, trim
 
 #: Words that a text is cut into at a time; a longer text takes no more memory than this many.
 WORDS_AT_ONCE = 1 << 16
@@ -332,44 +332,86 @@ def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return shared / (len(one) + size - shared)
 
 
-def similar_sets(sets: list[np.ndarray], bands: np.ndarray, least: float) -> np.ndarray:
-    """For each set the smallest index it is linked to: sets that share a band (a column of ``bands``) link if they are at least so similar.
+#: Bytes of sets that meet as many others in one task.
+BLOCK_SETS = 4 << 20
+
+
+def _linked(least: float):
+    """Rows (a, b, data, other) to the links between sets that are at least so similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                one, other = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                hit[i] = similarities(one, [other])[0] >= least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit))
+            trim()
+
+    return work
 
-    Sets that are linked already are not compared; in a band, all others than those of its largest component are compared with each that they are not linked to.
-    """
-    label = np.arange(len(sets))
-
-    def compare(i: int, own: np.ndarray) -> None:
-        rest = own[label[own] != label[i]]
-        if len(rest):
-            near = rest[similarities(sets[i], [sets[j] for j in rest.tolist()]) >= least]
-            if len(near):
-                met = np.unique(np.append(label[near], label[i]))
-                label[np.isin(label, met)] = met[0]
-
-    for column in bands.T:
-        order = np.argsort(column, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], column[order][1:] != column[order][:-1], [True])))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            own = order[a:b]
-            if len(own) < 2:
-                continue
-            compare(int(own[0]), own)  # near copies of one text are one component after this
-            found, n = np.unique(label[own], return_counts=True)
-            for i in own[label[own] != found[np.argmax(n)]].tolist():
-                compare(i, own)
-    return label
 
+def _met(least: float):
+    """Two blocks (label, data) of a bucket to the links between the labels of sets that are at least so similar."""
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
+    def work(few: pa.Table, others: pa.Table) -> pa.Table:
+        label = others["label"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in others["data"]]
+        found: set[tuple[int, int]] = set()
+        for own, data in zip(few["label"].to_pylist(), few["data"], strict=True):
+            known = [b for a, b in found if a == own] + [own]
+            rest = np.flatnonzero(~np.isin(label, known))
+            if len(rest):
+                near = rest[similarities(np.frombuffer(data.as_buffer(), np.uint64), [sets[k] for k in rest.tolist()]) >= least]
+                found |= {(own, b) for b in np.unique(label[near]).tolist()}
+        links = sorted(found)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return work
+
+
+def linked_in_buckets(members: DataFrame, sets: DataFrame, least: float, block_bytes: int = BLOCK_SETS) -> DataFrame:
+    """(key, first): the least key that each key is linked to. Sets (key, data) link if they share a bucket (bucket, key) and are at least so similar.
+
+    First every set meets the least key of its buckets, which joins all near copies of one text at a cost that grows as
+    their number. Then in each bucket all sets outside of its largest component meet all sets of the bucket, in blocks of
+    bounded size, so that no task gets a whole bucket and no pair of components is left out.
+    """
+    low = members.groupBy("bucket").agg(F.min("key").alias("low"))
+    pairs = members.join(low, "bucket").where("key <> low").select("key", "low").distinct()
+    with_both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("low"), F.col("data").alias("other")), "low")
+    links = with_both.select(F.col("key").alias("a"), F.col("low").alias("b"), "data", "other").mapInArrow(_linked(least), "a bigint, b bigint")
+    roots = star_components(links).withColumnRenamed("node", "key")
+    labelled = cut(members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("label")))
+    release(members.sparkSession)
+
+    sizes = labelled.join(sets.select("key", F.octet_length("data").alias("size")), "key")
+    parts = sizes.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "label", "size"))
+    shape = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.sum("size").alias("size"), most.alias("most")).where("labels > 1")
+    blocks = lambda x: F.greatest(F.ceil(x / block_bytes), F.lit(1)).cast("int")
+    open_ = cut(labelled.join(shape.select("bucket", F.col("most")["label"].alias("most"), blocks(F.col("size") - F.col("most")["size"]).alias("na"), blocks(F.col("size")).alias("nb")), "bucket"))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = [F.col(c).alias(c) for c in ("bucket", "i", "j", "label", "data")]  # columns of its own for each side
+    few = open_.where("label <> most").select("bucket", "key", "label", place("na").alias("i"), every("nb").alias("j")).join(sets, "key").select(*own)
+    others = open_.select("bucket", "key", "label", place("nb").alias("j"), every("na").alias("i")).join(sets, "key").select(*own)
+    more = few.groupBy("bucket", "i", "j").cogroup(others.groupBy("bucket", "i", "j")).applyInArrow(lambda a, b: _met(least)(a, b), "a bigint, b bigint")
+    again = star_components(more)
+    labels = labelled.select("key", "label").distinct()
+    return labels.join(again.withColumnRenamed("node", "label"), "label", "left").select("key", F.coalesce("root", "label").alias("first"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = 0.8, shingle: int = 5, seed: int = 42, block_bytes: int = BLOCK_SETS) -> DataFrame:
     """(id, component_id) for each row of ``docs``: the smallest id that it is linked to.
 
     Rows link when their sets of word shingles have a similarity (shared over all) of ``least`` or more, over any number
-    of steps; texts without words are all alike. Candidates share a band of minima, or are linked in the Gray-order index
-    of SimHash fingerprints; every link is then verified on the sets. A null id is never the smallest, unless its
-    component has no other. Each group of candidates is verified in one task, which holds their distinct sets.
+    of steps; null, empty and other texts without words are all alike. Candidates share a band of minima, or are linked in
+    the Gray-order index of SimHash fingerprints; every link is then verified on the sets. A null id is never the smallest,
+    unless its component has no other. Repeated rows give repeated rows, an empty table none; other columns are not read.
+    A text must fit in a Python worker's memory some twenty times over, whatever its length; a group of copies need not.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, spark = dict(docs.dtypes)[id_col], docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,34 +428,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     nodes = kept.groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     roots = star_components(link_forest(kept.select("fp").distinct(), NEAR_BITS)).withColumnRenamed("node", "fp")
     near = F.xxhash64(F.coalesce("root", "fp"), F.lit(BANDS))
-    nodes = cut(nodes.join(roots, "fp", "left").select("key", "least", F.concat("bands", F.array(near)).alias("bands")))
-    spread = nodes.select("key", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
-    groups = star_components(spread.join(shared, "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")))
-    whole = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).distinct()
-    # The bands are made anew from the texts that are wanted, so that the list of these stays narrow.
-    wanted = nodes.select("key", F.col("least").alias("__least"), F.element_at("bands", -1).alias("near")).join(whole.withColumnRenamed("node", "key"), "key")
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("__least"))).select("root", "key", "near", "text")
+    nodes = stored(nodes.join(roots, "fp", "left").select("key", "least", F.concat("bands", F.array(near)).alias("bands")))
+    release(spark)
+    spread = nodes.select("key", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    members = stored(spread.join(shared, "bucket").select("bucket", "key"))
+    release(spark)
+    wanted = nodes.select("key", F.col("least").alias("__least")).join(members.select("key").distinct(), "key")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(i, ROWS_AT_ONCE)
-                found = [shingle_set(t, shingle, seed)[0] for t in part.column(3).to_pylist()]
-                bands = [[*bands_of(x), n] for x, n in zip(found, part.column(2).to_pylist(), strict=True)]
-                own = pa.array([_set_key(x) == k for x, k in zip(found, part.column(1).to_pylist(), strict=True)])  # an id may stand in other rows too
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in found], pa.binary())], ["root", "key", "bands", "data"]).filter(own)
+                found = [shingle_set(t, shingle, seed)[0] for t in part.column(1).to_pylist()]
+                own = pa.array([_set_key(x) == k for x, k in zip(found, part.column(0).to_pylist(), strict=True)])  # an id may stand in other rows too
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "data"]).filter(own)
                 trim()
 
-    def verified(table: pa.Table) -> pa.Table:
-        keys, first = np.unique(table["key"].to_numpy(), return_index=True)
-        own = table.take(first)
-        bands = own["bands"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
-        label = similar_sets([np.frombuffer(x, np.uint64) for x in own["data"].to_pylist()], bands, least)
-        return pa.table({"key": keys, "first": keys[label]})
-
-    linked = texts.mapInArrow(shingled, "root bigint, key bigint, bands array<bigint>, data binary").groupBy("root").applyInArrow(verified, "key bigint, first bigint")
-    firsts = cut(nodes.select("key", "least").join(linked, "key", "left").select("key", "least", F.coalesce("first", "key").alias("first")))
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("__least"))).select("key", "text")
+    sets = stored(texts.mapInArrow(shingled, "key bigint, data binary").dropDuplicates(["key"]))
+    del texts
+    release(spark)
+    firsts = cut(nodes.select("key", "least").join(linked_in_buckets(members, sets, least, block_bytes), "key", "left").select("key", "least", F.coalesce("first", "key").alias("first")))
+    release(spark)
     components = firsts.groupBy("first").agg(F.min("least").alias("component_id"))
     return kept.select("id", "key").join(firsts.join(components, "first").select("key", "component_id"), "key").select("id", "component_id")
 

@@ -33,8 +33,8 @@ from .common import OTHER_BYTE, blocks, prefix_sums, read, release, span_hashes,
 GRAM = 20
 #: Bytes of text for each bucket of ranks, and for each group of texts.
 BUCKET_BYTES, GROUP_BYTES = 12 << 20, 8 << 20
-#: Bytes of text whose positions leave together, and whose hashes are computed together.
-BATCH_BYTES, TILE_BYTES = 8 << 20, 1 << 20
+#: Bytes of text whose positions leave together, that are packed together, and whose hashes are computed together.
+SCAN_BYTES, BATCH_BYTES, TILE_BYTES = 4 << 20, 8 << 20, 1 << 19
 _TOP48 = np.uint64(0xFFFF_FFFF_FFFF_0000)
 #: Positions of one rank in a batch from which they go on without a bucket's word.
 HOT = 64
@@ -212,7 +212,7 @@ def _scan(length: int, gram: int, n_buckets: int):
     """Rows (id, row, part, text) to packed positions by bucket of their rank."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in blocks(batches, "text", BATCH_BYTES):
+        for rows, data, at in blocks(batches, "text", SCAN_BYTES):
             ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             row, group = rows.column(1).to_numpy(), rows.column(2).to_numpy()
             found = list(sampled(data, at, length, gram))

@@ -63,14 +63,37 @@ def test_odd_rows(odd, none):
     assert S.similar_documents(none).count() == 0
 
 
-def test_large_groups_are_compared_as_all_pairs():
+def test_large_buckets_are_compared_as_all_pairs(spark):
     rng = np.random.default_rng(2)
     sets = [np.unique(np.where(rng.random(40) < 0.06, rng.integers(1000, 9000, 40), np.arange(40)).astype(np.uint64)) for _ in range(80)]
-    got = S.similar_sets(sets, np.zeros((80, 1), np.int64), 0.8)
-    own, label = [set(x.tolist()) for x in sets], list(range(80))
-    for i in range(80):
+    sets += [np.unique(rng.integers(0, 1 << 40, 30).astype(np.uint64)) for _ in range(9)]
+    own, label = [set(x.tolist()) for x in sets], list(range(len(sets)))
+    for i in range(len(sets)):
         for j in range(i):
             if similarity(own[i], own[j]) >= 0.8:
                 a, b = label[i], label[j]
                 label = [min(a, b) if x == max(a, b) else x for x in label]
-    assert got.tolist() == label
+    assert 10 < len(set(label)) < 80
+    members = spark.createDataFrame([(b, i) for b in (5, 6) for i in range(len(sets))], "bucket bigint, key bigint")
+    data = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "key bigint, data binary")
+    for size in (1 << 20, 2000):
+        got = {r.key: r.first for r in S.linked_in_buckets(members, data, 0.8, size).collect()}
+        assert got == dict(enumerate(label))
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Edited copies of one text, and a chain that drifts away from it: small blocks give the groups of all pairs."""
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(60):
+        copy = list(words)
+        for k in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            copy[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(copy)))
+    for i in range(60, 90):
+        words[(i * 7) % 120] = f"d{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.id: r.component_id for r in S.similar_documents(docs, block_bytes=3000).collect()}
+    assert got == {i: c for (i, _), c in zip(rows, brute(rows), strict=True)}
