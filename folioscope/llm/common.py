@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised kernels take at a time.
 BLOCK_BYTES = 4 << 20
 
+#: Bytes whose words are hashed at a time: a worker keeps some 16 bytes for each of these.
+WORD_TABLE_BYTES = 1 << 20
+
 #: ASCII white space: the separators of the word class ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -147,7 +150,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     """1, b, b**2, ... modulo 2**64, of the hash's base or of its inverse."""
     kept = _powers.get("i" if inverse else "p")
     if kept is None or len(kept) < n:
-        size, base = 1 << max(16, (n - 1).bit_length()), _INVERSE if inverse else _BASE
+        size, base = max(1 << 16, n), _INVERSE if inverse else _BASE
         kept = np.ones(size, np.uint64)
         kept[1:] = base
         with np.errstate(over="ignore"):
@@ -217,7 +220,7 @@ def word_table(data: np.ndarray, at: np.ndarray, inside: np.ndarray, fold: np.nd
     starts, ends, hashes = [], [], []
     i, n = 0, len(data)
     while i < n:
-        j = min(n, i + BLOCK_BYTES)
+        j = min(n, i + WORD_TABLE_BYTES)
         while j < n and j not in at:  # to a byte outside any word
             gap = np.flatnonzero(~inside[fold[data[j : j + 4096]]])
             if len(gap):

@@ -458,14 +458,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", groups: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id; of rows that repeat it, one.
 
-    groups: gives each row's component. Columns stay as they are.
+    groups: gives each row's component; it says what becomes of nulls, empty and very long texts and empty tables. Columns
+    stay as they are, whatever their names.
     """
-    found = groups(docs, id_col, text, **options).select(F.col("id").alias("__id"), F.col("component_id").alias("__first")).distinct()
-    keep = found.where(F.col("__id").eqNullSafe(F.col("__first"))).select("__id")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    left = held.join(keep, F.col("record")[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    first = left.withColumn("n", F.row_number().over(Window.partitionBy(F.col("record")[id_col]).orderBy(F.col("record")[text]))).where("n = 1")
-    return first.select(*[F.col("record")[c].alias(c) for c in docs.columns])
+    key = lambda c: F.struct(F.col(c).alias("id"))  # noqa: E731  (null ids are equal inside a struct)
+    found = groups(docs, id_col, text, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    keep = found.select(key("id").alias("key")).distinct()
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), key(id_col).alias("key"))
+    first = held.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.col("record")[text]))).where("n = 1")
+    return first.join(keep, "key", "left_semi").select(*[F.col("record")[c].alias(c) for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

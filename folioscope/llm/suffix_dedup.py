@@ -32,7 +32,7 @@ from .common import OTHER_BYTE, blocks, prefix_sums, read, release, span_hashes,
 #: Bytes of the sampled strings; at most ``length``.
 GRAM = 20
 #: Bytes of text for each bucket of ranks, and for each group of texts.
-BUCKET_BYTES, GROUP_BYTES = 12 << 20, 8 << 20
+BUCKET_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 #: Bytes of text whose positions leave together, that are packed together, and whose hashes are computed together.
 SCAN_BYTES, BATCH_BYTES, TILE_BYTES = 4 << 20, 8 << 20, 1 << 19
 _TOP48 = np.uint64(0xFFFF_FFFF_FFFF_0000)
