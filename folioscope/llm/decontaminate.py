@@ -218,14 +218,15 @@ def _search_shard(phrases: Phrases, data: np.ndarray, at: np.ndarray) -> list[pa
     ]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """(id, text, n_words, n_hit, items, spans) for each row of ``docs``.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, pass_bytes: int = PASS_BYTES, clean: bool = False) -> DataFrame:
+    """(id, text, n_words, n_hit, items, spans) for each row of ``docs``; with ``clean`` also that: the text without the spans.
 
     Words are maximal runs of letters and digits (any character beyond ASCII is one), A-Z in lower case. A window is
     ``window`` consecutive words of an item, or all words of a shorter one. n_hit: words inside an occurrence.
     items: ids, as strings, sorted, of the items with an occurring window; an item without an id hits words but isn't
     listed. spans: UTF-8 byte ranges of the maximal runs of hit words. Null and empty texts have no words.
-    Repeated rows give repeated rows; an empty benchmark hits nothing. Extra columns are not read.
+    Repeated rows give repeated rows, an empty table none; an empty benchmark hits nothing. Extra columns are not read.
+    A text is searched as a whole, whatever its length: a Python worker must hold it some twenty times over.
 
     The driver holds ``pass_bytes`` of benchmark text at a time; more of it is searched in further passes, whose
     results meet by row.
@@ -242,10 +243,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         def work(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
             for rows, data, at in blocks(batches, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *_search_shard(phrases, data, at)], ["id", "text", "n_words", "n_hit", "items", "spans"])
+                hits = _search_shard(phrases, data, at)
+                own = [_cleaned(rows.column(1), hits[-1])] if clean and passes == 1 else []
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *hits, *own], ["id", "text", "n_words", "n_hit", "items", "spans", "clean"][: 6 + len(own)])
+
+        found.append(source.mapInArrow(work, f"id {kind}, text string, {FOUND}" + (", clean string" if clean and passes == 1 else "")))
+    if passes == 1:
+        return found[0]
+    merged = _merged(found)
+    if not clean:
+        return merged
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _cleaned(batch.column(1), batch.column(5))], [*batch.schema.names, "clean"])
 
-        found.append(source.mapInArrow(work, f"id {kind}, text string, {FOUND}"))
-    return found[0] if passes == 1 else _merged(found)
+    return merged.mapInArrow(cut_out, f"id {kind}, text string, {FOUND}, clean string")
 
 
 def _merged(found: list[DataFrame]) -> DataFrame:
@@ -274,22 +287,25 @@ def without_spans(text: str, spans: list[dict]) -> str:
     return b" ".join(x.strip() if 0 < i < len(out) - 1 else x.rstrip() if i == 0 else x.lstrip() for i, x in enumerate(out)).decode("utf-8", "surrogatepass").strip()
 
 
+def _cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Each text without its spans; one without any as it is."""
+    out: list[pa.Array] = []
+    for i in range(0, len(texts), 512):
+        pairs = zip(texts.slice(i, 512).to_pylist(), spans.slice(i, 512).to_pylist(), strict=True)
+        out.append(pa.array([without_spans(t, s) if s else t for t, s in pairs], pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the words of benchmark windows taken out of ``text``; a text without any stays as it is, and so do the other columns."""
+    """``docs`` with the words of benchmark windows taken out of ``text``; a text without any stays as it is, and so do the other columns.
+
+    Null texts stay null; repeated rows, empty tables and very long texts are as in find_contamination(); other columns may
+    have any names.
+    """
     rest = [c for c in docs.columns if c != text]
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text))
-    found = find_contamination(kept, benchmark, "rest", text, **options)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                texts = [without_spans(t, s) if s else t for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["rest", "text"])
-
-    kind = dict(kept.dtypes)["rest"]
-    clean = found.select(F.col("id").alias("rest"), "text", "spans").mapInArrow(work, f"rest {kind}, text string")
-    return clean.select(*[F.col("text").alias(text) if c == text else F.col("rest")[c].alias(c) for c in docs.columns])
+    found = find_contamination(kept, benchmark, "rest", text, clean=True, **options)
+    return found.select(*[F.col("clean").alias(text) if c == text else F.col("id")[c].alias(c) for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -302,15 +303,22 @@ def decode_ids(ids: np.ndarray, at: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     return data[keep], np.concatenate(([0], np.cumsum(keep)))[edge]
 
 
+@lru_cache(2)
+def loaded(model: str) -> Pieces:
+    """A model's pieces, once in a worker."""
+    return Pieces.load(model)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(id, ids, n_tokens, n_bytes, decoded_sha256, round_trip) for each row: the text's pieces, and what they decode to.
 
-    Null and empty texts have no ids. Repeated rows give repeated rows. Other columns than these two are not read.
+    Null and empty texts have no ids. Repeated rows give repeated rows, an empty table none. Other columns than these two
+    are not read. A text is encoded as a whole, whatever its length: a Python worker must hold it some 150 times over.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model)
+        pieces = loaded(model)
         for rows, data, at in blocks(batches, "text", BATCH_BYTES):
             ids, edges = encode_texts(data, at, pieces)
             back, back_at = decode_ids(ids, edges, pieces)
@@ -335,7 +343,7 @@ def decode(encoded: DataFrame, id_col: str = "id", ids: str = "ids", model: str
     kind = dict(encoded.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model)
+        pieces = loaded(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
