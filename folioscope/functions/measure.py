@@ -103,8 +103,9 @@ def percentage(text: Column) -> Column:
 def eased(p: Column, accel: Column, decel: Column) -> Column:
     """Progress at share p of the time, with a speed-up over the first ``accel`` and a slow-down over the last ``decel``.
 
-    The area under a trapezoid of speed, so that it ends at 1.
+    The area under a trapezoid of speed, so that it ends at 1. Shares outside of 0 to 1 count as these.
     """
+    p = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
     total = accel + decel
     top = 1 / (1 - total / 2)
     ramp_up = 0.5 * top * p * p / accel

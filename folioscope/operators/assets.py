@@ -47,8 +47,9 @@ def named(assets: DataFrame, deck: str = "deck") -> DataFrame:
 
 
 def at_risk(kind: Column, mime: Column) -> Column:
-    """Whether an asset will not be drawn by itself."""
-    return (kind != "image") | ~F.coalesce(F.lower(mime).isin(*DRAWABLE), F.lit(False))
+    """Whether an asset will not be drawn by itself. Parameters behind a media type do not count."""
+    bare = F.lower(F.trim(F.split(mime, ";")[0]))
+    return (kind != "image") | ~F.coalesce(bare.isin(*DRAWABLE), F.lit(False))
 
 
 def needed_sizes(uses: DataFrame, asset: str = "asset") -> DataFrame:
@@ -69,10 +70,10 @@ def picture_plan(pictures: DataFrame) -> DataFrame:
     return pictures.withColumn("reason", reason).withColumn("scale", F.when(reason.isNull(), scale).otherwise(1.0))
 
 
-def usable(mime: Column, width: Column, height: Column, size: Column) -> Column:
-    """as_is, convert or refused: whether a picture can be sent as it is."""
-    known = width.isNotNull() & height.isNotNull()
-    return F.when(~known, "refused").when(F.lower(mime).isin(*DRAWABLE) & (width * height <= MOST_PIXELS) & (size <= MOST_BYTES), "as_is").otherwise("convert")
+def usable(mime: Column, width: Column, height: Column, size: Column, readable: Column) -> Column:
+    """as_is, convert or refused: whether a picture can be sent as it is. One whose size isn't stated is converted if it is ``readable``."""
+    stated = (F.coalesce(width, F.lit(0)) > 0) & (F.coalesce(height, F.lit(0)) > 0)
+    return F.when(F.lower(mime).isin(*DRAWABLE) & stated & (width * height <= MOST_PIXELS) & (F.coalesce(size, F.lit(0)) <= MOST_BYTES), "as_is").when(F.coalesce(readable, F.lit(False)), "convert").otherwise("refused")
 
 
 def videos_to_strip(references: DataFrame) -> DataFrame:

@@ -10,23 +10,37 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 
-def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(a, b, hops): every pair with a way from a to b, and the fewest hops. A frontier of new pairs only, kept after each round."""
-    step = cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
-    known = step.withColumn("hops", F.lit(1))
-    frontier = known
-    for hops in range(2, most_rounds + 2):
-        grown = frontier.select("a", F.col("b").alias("m")).join(step.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
-        frontier = cut(grown.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
+def closure(edges: DataFrame) -> DataFrame:
+    """(a, b, hops): every pair with a way from a to b, and the fewest hops. Ways double in length each round, so rounds grow as the logarithm of the longest."""
+    known = cut(edges.select("a", "b").where("a is not null and b is not null").distinct().withColumn("hops", F.lit(1)))
+    size = lambda df: df.agg(F.count(F.lit(1)), F.sum("hops")).first()
+    before = size(known)
+    while True:
+        on = known.select(F.col("a").alias("m"), F.col("b").alias("to"), F.col("hops").alias("more"))
+        longer = known.join(on, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), (F.col("hops") + F.col("more")).alias("hops"))
+        known = cut(known.unionByName(longer).groupBy("a", "b").agg(F.min("hops").alias("hops")))
+        now = size(known)
+        if now == before:
             return known
-        known = cut(known.unionByName(frontier))
-    raise RuntimeError("the closure did not end")
+        before = now
+
+
+def on_or_between_cycles(edges: DataFrame) -> DataFrame:
+    """The edges left when those are taken away, again and again, that start where none ends or end where none starts."""
+    left = cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    n = left.count()
+    while n:
+        left = cut(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        now = left.count()
+        if now == n:
+            break
+        n = now
+    return left
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges).where("a = b").select(F.col("a").alias("node"))
+    """Nodes that reach themselves. Chains are trimmed first, so that ways are only followed on and between cycles."""
+    return closure(on_or_between_cycles(edges)).where("a = b").select(F.col("a").alias("node"))
 
 
 def batch_plan(jobs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import islice, permutations
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,14 +92,19 @@ def matched_stills(videos: DataFrame, pictures: DataFrame, keys: Sequence[str],
     return videos.groupBy(*keys).cogroup(pictures.groupBy(*keys)).applyInPandas(work, schema)
 
 
-def assigned(uses: list[float], crops: list[float], tolerance: float, most: int = 720) -> list[int] | None:
-    """For each use the crop that goes with it, by aspect ratio: the first permutation that fits within the tolerance, the order as it is if none does, None if their numbers differ."""
+#: Fixed value: crops that are tried in every order; of more, only the order as it is.
+MOST_PERMUTED = 6
+
+
+def assigned(uses: list[float], crops: list[float], tolerance: float) -> list[int] | None:
+    """For each use the crop that goes with it, by aspect ratio: the first order that fits within the tolerance. None if none does or their numbers differ."""
     if len(uses) != len(crops):
         return None
-    for p in islice(permutations(range(len(crops))), most):
+    own = tuple(range(len(crops)))
+    for p in permutations(own) if len(own) <= MOST_PERMUTED else [own]:
         if all(abs(crops[k] / u - 1) <= tolerance for u, k in zip(uses, p, strict=True)):
             return list(p)
-    return list(range(len(uses)))
+    return None
 
 
 def room_below(elements: DataFrame, keys: Sequence[str], page_height: Column) -> DataFrame:

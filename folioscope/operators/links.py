@@ -54,33 +54,48 @@ def lettering_to_outlines(lettering: DataFrame, outlines: DataFrame, keys: Cols,
     return own.join(free, [*keys, "__colour", "__k"], "left").select(*keys, "id", "outline")
 
 
-def text_indents(spans: pd.DataFrame, obstacles: pd.DataFrame, gap: float = 6.0, most_rounds: int = 5) -> pd.DataFrame:
+#: Points between a text and a picture beside it, and the share of a line above which one isn't wrapped around.
+WRAP_GAP, WRAP_SHARE = 3.6, 0.6
+
+
+def text_indents(spans: pd.DataFrame, obstacles: pd.DataFrame, gap: float = WRAP_GAP, most_rounds: int = 5) -> pd.DataFrame:
     """(id, left, right): how far the lines of one box give way to pictures beside them.
 
-    spans: id, top, height, x, w and narrow, the height that a narrowed span takes. A picture level with a span pushes
-    the side it is on; a span that gets narrower gets taller, which moves those below, so this goes round until it
-    settles, five times at most.
+    spans: id, top, height, x, w, narrow (the height that a narrowed span takes), and own_left and own_right, indents that
+    the author set, if there are any: only what they lack is added. A picture level with a span pushes the side that its
+    middle is on; one that would take over 0.6 of the line is not wrapped around. A span that gets narrower gets taller,
+    which moves those below, so this goes round until it settles, five times at most; then both of the last rounds count.
     """
     out = spans.sort_values("top").reset_index(drop=True)
+    sides = []
+    for o in obstacles.itertuples():
+        for i, s in enumerate(out.itertuples()):
+            if o.right <= s.x or o.left >= s.x + s.w:
+                continue
+            middle = (o.left + o.right) / 2 >= s.x + s.w / 2
+            push = max(0.0, s.x + s.w - o.left + gap) if middle else max(0.0, o.right - s.x + gap)
+            if push <= WRAP_SHARE * s.w:
+                sides.append((i, o.top, o.bottom, 0.0 if middle else push, push if middle else 0.0))
+    own = [(float(getattr(s, "own_left", 0.0) or 0.0), float(getattr(s, "own_right", 0.0) or 0.0)) for s in out.itertuples()]
     left, right = [0.0] * len(out), [0.0] * len(out)
+    settled = False
     for _ in range(most_rounds):
-        top, before = float(out["top"].min()) if len(out) else 0.0, (list(left), list(right))
+        top, new = float(out["top"].min()) if len(out) else 0.0, []
         for i, s in enumerate(out.itertuples()):
-            height = s.narrow if left[i] or right[i] else s.height
-            left[i] = right[i] = 0.0
-            for o in obstacles.itertuples():
-                if top < o.bottom + gap and top + height > o.top - gap:
-                    if o.left + o.right < 2 * s.x + s.w:
-                        left[i] = max(left[i], o.right + gap - s.x)
-                    else:
-                        right[i] = max(right[i], s.x + s.w - o.left + gap)
-            top += s.narrow if left[i] or right[i] else s.height
-        if before == (left, right):
+            bottom = top + (s.narrow if left[i] or right[i] else s.height)
+            level = [(a, b) for k, high, low, a, b in sides if k == i and top < low and bottom > high]
+            new.append(tuple(max(0.0, max((x[k] for x in level), default=0.0) - own[i][k]) for k in (0, 1)))
+            top = bottom
+        settled = new == list(zip(left, right, strict=True))
+        if settled:
             break
+        before, (left, right) = (left, right), ([x[0] for x in new], [x[1] for x in new])
+    if not settled and len(out):
+        left, right = [max(x) for x in zip(left, before[0], strict=True)], [max(x) for x in zip(right, before[1], strict=True)]
     return pd.DataFrame({"id": out["id"], "left": left, "right": right})
 
 
-def wrapped(spans: DataFrame, obstacles: DataFrame, keys: Cols, gap: float = 6.0) -> DataFrame:
+def wrapped(spans: DataFrame, obstacles: DataFrame, keys: Cols, gap: float = WRAP_GAP) -> DataFrame:
     """text_indents() box by box: the spans of a box and the pictures of its page that touch it."""
     kinds = dict(spans.dtypes)
 

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Height of a line in type sizes, inset in points, share of the room that is used.
-LEADING, INSET, FILL = 1.2, 3.6, 0.97
+#: Height of a line in type sizes, insets across and down in points, share of the room that is used.
+LEADING, INSET_ACROSS, INSET_DOWN, FILL = 1.2, 7.2, 3.6, 0.97
 #: Steps in order: (line spacing in per cent, scale of the type).
 STEPS = [(100, 1.0), (95, 1.0), (90, 1.0), *[(90, round(1 - 0.05 * k, 2)) for k in range(1, 6)]]
 
@@ -30,7 +30,7 @@ def wrapped_lines(text: str, size: float, width: float, advance: dict[str, float
 
 def fit(paragraphs: list[tuple[str, float]], width: float, height: float, advance: dict[str, float]) -> tuple[int, float, bool] | None:
     """(spacing, scale, overflow) at the first step at which the paragraphs (text, size) fit; None if they can't be measured."""
-    room, inner = (height - 2 * INSET) * FILL, width - 2 * INSET
+    room, inner = (height - 2 * INSET_DOWN) * FILL, width - 2 * INSET_ACROSS
     for spacing, scale in STEPS:
         total = 0.0
         for text, size in paragraphs:

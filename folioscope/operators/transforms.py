@@ -80,14 +80,19 @@ def authored_groups(elements: DataFrame, keys: Cols) -> DataFrame:
     """(keys, layer, authored): layers that are groups their author made.
 
     One that holds another layer, or whose children reach outside their largest sibling's frame by more than 3 points or
-    5 % of it. elements: keys, id, parent, kind, x, y, w, h.
+    5 % of it; of equally large siblings the first by id counts. A layer that clips its content is none, if the elements say
+    so. elements: keys, id, parent, kind, x, y, w, h, and clip (of a layer, by its id) if known.
     """
     inside = elements.where("parent is not null")
-    largest = inside.groupBy(*keys, "parent").agg(F.max_by(F.struct("x", "y", "w", "h"), F.struct(F.col("w") * F.col("h"), "id")).alias("__big"))
+    largest = inside.groupBy(*keys, "parent").agg(F.min_by(F.struct("x", "y", "w", "h"), F.struct(-F.col("w") * F.col("h"), "id")).alias("__big"))
     slack = F.greatest(F.lit(3.0), 0.05 * F.greatest("__big.w", "__big.h"))
     out = (F.col("x") < F.col("__big.x") - slack) | (F.col("y") < F.col("__big.y") - slack) | (F.col("x") + F.col("w") > F.col("__big.x") + F.col("__big.w") + slack) | (F.col("y") + F.col("h") > F.col("__big.y") + F.col("__big.h") + slack)
     joined = inside.join(largest, [*keys, "parent"])
-    return joined.groupBy(*keys, F.col("parent").alias("layer")).agg(F.bool_or((F.col("kind") == "layer") | out).alias("authored"))
+    found = joined.groupBy(*keys, F.col("parent").alias("layer")).agg(F.bool_or((F.col("kind") == "layer") | out).alias("authored"))
+    if "clip" not in elements.columns:
+        return found
+    clipped = elements.where("kind = 'layer' and clip").select(*keys, F.col("id").alias("layer"), F.lit(True).alias("__clip")).distinct()
+    return found.join(clipped, [*keys, "layer"], "left").select(*keys, "layer", (F.col("authored") & F.col("__clip").isNull()).alias("authored"))
 
 
 def kept_groups(members: DataFrame, keys: Cols) -> DataFrame:

@@ -73,14 +73,12 @@ def q73_grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("col"), "l_partkey", "right")
 
 
-@query("SELECT l_partkey AS asset, max(l_quantity) AS width, max(l_linenumber) AS height, bool_or(l_returnflag = 'R' AND l_quantity > 49) AS unknown FROM (SELECT l_partkey, l_returnflag, l_quantity, l_linenumber FROM lineitem) GROUP BY 1")
+@query("SELECT l_partkey AS asset, max(CASE WHEN l_returnflag <> 'R' OR l_quantity <= 49 THEN l_quantity END) AS width, max(l_linenumber) AS height, bool_or(l_returnflag = 'R' AND l_quantity > 49) AS unknown FROM lineitem GROUP BY 1")
 def q74_needed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest use of each part."""
-    line = table(spark, sf_dir, "lineitem")
-    uses = line.select(F.col("l_partkey").alias("asset"), F.col("l_quantity").alias("width"), F.col("l_linenumber").alias("height"))
-    sizes = assets.needed_sizes(uses).drop("unknown")
-    odd = line.groupBy(F.col("l_partkey").alias("asset")).agg(F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)).alias("unknown"))
-    return sizes.join(odd, "asset")
+    """The largest use of each part; a large returned line states no width."""
+    odd = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset"), F.when(~odd, F.col("l_quantity")).alias("width"), F.col("l_linenumber").alias("height"))
+    return assets.needed_sizes(uses)
 
 
 @query("""
@@ -136,16 +134,16 @@ def q78_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size * p_size > 2000 THEN 'convert' WHEN p_type = 'SMALL' THEN 'refused' ELSE 'as_is' END AS fate, p_type <> 'PROMO' AS risk
-FROM part
+WITH p AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'IMAGE/JPEG; q=1' WHEN 2 THEN 'image/tiff' END AS mime, CASE WHEN p_size % 5 > 0 THEN p_size * 500 END AS side FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND side * side <= 25000000 THEN 'as_is' WHEN p_size % 3 > 0 THEN 'convert' ELSE 'refused' END AS fate, p_size % 7 = 0 OR p_partkey % 4 > 1 AS risk
+FROM p
 """)
 def q79_usable_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as pictures: what may be sent as it is, and what is at risk."""
-    size = F.col("p_size").cast("long")
-    large = size * size > 2000
-    width = F.when(large, F.lit(30_000)).when(F.col("p_type") == "SMALL", F.lit(None)).otherwise(F.lit(100))
-    mime, kind = F.lit("image/png"), F.when(F.col("p_type") == "PROMO", "image").otherwise("video")
-    return table(spark, sf_dir, "part").select("p_partkey", assets.usable(mime, width, F.when(large, F.lit(1_000)).otherwise(F.lit(100)), F.lit(1)).alias("fate"), assets.at_risk(kind, mime).alias("risk"))
+    """Parts as pictures of some media types and sizes, some not stated: what may be sent as it is, and what is at risk."""
+    n, side = F.col("p_partkey") % 4, F.when(F.col("p_size") % 5 > 0, F.col("p_size").cast("long") * 500)
+    mime = F.when(n == 0, "image/png").when(n == 1, "IMAGE/JPEG; q=1").when(n == 2, "image/tiff")
+    kind = F.when(F.col("p_size") % 7 == 0, "video").otherwise("image")
+    return table(spark, sf_dir, "part").select("p_partkey", assets.usable(mime, side, side, F.lit(1), F.col("p_size") % 3 > 0).alias("fate"), assets.at_risk(kind, mime).alias("risk"))
 
 
 @query("SELECT l_orderkey, max_line, CASE WHEN n > 1 THEN n ELSE 0 END AS populated, max_line * n AS grid FROM (SELECT l_orderkey, max(l_linenumber) AS max_line, count(*) AS n FROM lineitem GROUP BY 1)")

@@ -200,11 +200,11 @@ def q52_label_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(text.label_starts_with_word(F.col("p_name"), F.col("word"))).select("p_partkey", "word")
 
 
-@query("SELECT doc_id, n_chars = length(text) AS length_agrees, sha256(text) = sha256(text || '') AS hash_agrees, length(text) AS n FROM documents")
+@query("SELECT doc_id, n_chars = length(text) AS length_agrees, sha256(text) AS sha256, length(text) AS n FROM documents")
 def q53_hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the declared lengths and hashes hold."""
+    """Whether the declared lengths hold, and the hashes to hold others against."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") == F.length(t)).alias("length_agrees"), (F.sha2(t, 256) == F.sha2(F.concat(t, F.lit("")), 256)).alias("hash_agrees"), F.length(t).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") == F.length(t)).alias("length_agrees"), F.sha2(t, 256).alias("sha256"), F.length(t).cast("long").alias("n"))
 
 
 @query("SELECT lang, replace(lower(source), 'ß', 'ss') AS source_key, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")

@@ -82,7 +82,7 @@ def q54_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.final_states(jobs.requests_of_events(_events(spark, sf_dir)))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, 0.5 * l_quantity / (2 - l_discount) AS value FROM lineitem")
 def q55_eval_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An animation formula over each line's numbers."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")

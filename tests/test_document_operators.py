@@ -103,7 +103,7 @@ def test_stills_are_used_once(spark):
     videos = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 9.0, 9.0), (1, 2, 1, 1.0, 0.0, 9.0, 9.0)], box)
     pictures = spark.createDataFrame([(1, 7, 0, 1.0, 0.0, 9.0, 9.0), (1, 8, 1, 3.0, 0.0, 9.0, 9.0), (1, 9, 2, 30.0, 0.0, 9.0, 9.0)], box)
     assert rows(layout.matched_stills(videos, pictures, ["s"])) == [(1, 1, 7), (1, 2, 8)]
-    assert layout.assigned([1.0, 2.0], [2.0, 1.0], 0.05) == [1, 0] and layout.assigned([1.0], [1.0, 2.0], 0.1) is None and layout.assigned([1.0, 1.0], [5.0, 1.0], 0.1) == [0, 1]
+    assert layout.assigned([1.0, 2.0], [2.0, 1.0], 0.05) == [1, 0] and layout.assigned([1.0], [1.0, 2.0], 0.1) is None and layout.assigned([1.0, 1.0], [5.0, 1.0], 0.1) is None and layout.assigned([float(k) for k in range(1, 8)], [float(k) for k in range(7, 0, -1)], 0.1) is None
     assert len(layout.nearest_stills(pd.DataFrame(columns=["id", "ord", "x", "y", "w", "h"]), pd.DataFrame(columns=["id", "ord", "x", "y", "w", "h"]))) == 0
 
 

@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import links
@@ -32,10 +33,26 @@ def test_lettering(spark):
 def test_wrap(spark):
     spans = spark.createDataFrame([(1, 1, 0.0, 10.0, 0.0, 100.0, 30.0), (1, 2, 10.0, 10.0, 0.0, 100.0, 30.0)], "box int, id int, top double, height double, x double, w double, narrow double")
     near = spark.createDataFrame([(1, 0.0, 20.0, 0.0, 15.0)], "box int, left double, right double, top double, bottom double")
-    assert rows(links.wrapped(spans, near, ["box"])) == [(1, 1, 26.0, 0.0), (1, 2, 0.0, 0.0)]
+    assert rows(links.wrapped(spans, near, ["box"])) == [(1, 1, 23.6, 0.0), (1, 2, 0.0, 0.0)]
     assert len(links.text_indents(pd.DataFrame(columns=["id", "top", "height", "x", "w", "narrow"]), pd.DataFrame())) == 0
 
 
+def test_wide_pictures_and_own_indents():
+    spans = pd.DataFrame([(1, 0.0, 10.0, 0.0, 100.0, 10.0, 5.0)], columns=["id", "top", "height", "x", "w", "narrow", "own_left"])
+    box = lambda *v: pd.DataFrame([v], columns=["left", "right", "top", "bottom"])
+    assert links.text_indents(spans, box(0.0, 20.0, 0.0, 5.0))["left"].tolist() == [pytest.approx(18.6)]
+    assert links.text_indents(spans, box(0.0, 60.0, 0.0, 5.0)).iloc[0].tolist() == [1.0, 0.0, 0.0]
+    assert links.text_indents(spans, box(70.0, 90.0, 0.0, 5.0))["right"].tolist() == [pytest.approx(33.6)]
+    assert links.text_indents(spans, box(70.0, 90.0, 50.0, 60.0))["right"].tolist() == [0.0]
+
+
+def test_wrapping_that_does_not_settle_keeps_both_rounds():
+    """Narrow, the first span pushes the second away from the picture beside it; wide, it does not."""
+    spans = pd.DataFrame([(1, 0.0, 10.0, 0.0, 100.0, 40.0), (2, 10.0, 10.0, 0.0, 100.0, 10.0)], columns=["id", "top", "height", "x", "w", "narrow"])
+    near = pd.DataFrame([(0.0, 20.0, 5.0, 15.0)], columns=["left", "right", "top", "bottom"])
+    assert links.text_indents(spans, near, most_rounds=1)["left"].tolist() == [pytest.approx(23.6)] * 2
+
+
 def test_clips_and_copies(spark):
     p = spark.createDataFrame([("d", "s1", "pic", "r1", "r2"), ("d", "s1", "no", "r2", "r2")], "package string, part string, id string, rid string, poster_rid string")
     r = spark.createDataFrame([("d", "s1", "r1", False, "ppt/media/m.MP3"), ("d", "s1", "r2", False, "ppt/media/p.png")], "package string, owner string, id string, external boolean, resolved string")

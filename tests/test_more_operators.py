@@ -25,7 +25,7 @@ def test_lengths(spark):
 def test_motion(spark):
     ease = lambda p, a, d: round(one(spark, M.eased(F.lit(p), F.lit(a), F.lit(d))), 6)
     assert [ease(x, 0.0, 0.0) for x in (0.0, 0.3, 1.0)] == [0.0, 0.3, 1.0]
-    assert ease(0.0, 0.5, 0.5) == 0.0 and ease(0.5, 0.5, 0.5) == 0.5 and ease(1.0, 0.5, 0.5) == 1.0 and ease(0.2, 0.2, 0.0) == pytest.approx(0.111111)
+    assert ease(0.0, 0.5, 0.5) == 0.0 and ease(0.5, 0.5, 0.5) == 0.5 and ease(1.0, 0.5, 0.5) == 1.0 and ease(0.2, 0.2, 0.0) == pytest.approx(0.111111) and ease(1.7, 0.5, 0.5) == 1.0 and ease(-3.0, 0.0, 0.0) == 0.0
     assert tuple(one(spark, M.point_along(points((0, 0), (10, 0), (10, 10)), F.lit(0.75)))) == (10.0, 5.0)
     assert tuple(one(spark, M.point_along(points((0, 0), (10, 0)), F.lit(1.0)))) == (10.0, 0.0)
     frames = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(v).alias("value")) for a, v in ((0.2, 1.0), (0.6, 3.0))])
@@ -57,6 +57,8 @@ def test_block_rules(spark):
 def test_groups(spark):
     e = spark.createDataFrame([(1, "a", "L", "shape", 0.0, 0.0, 100.0, 100.0), (1, "b", "L", "shape", 10.0, 10.0, 92.0, 5.0), (1, "c", "M", "shape", 0.0, 0.0, 100.0, 100.0), (1, "d", "M", "shape", 50.0, 0.0, 90.0, 9.0)], "p int, id string, parent string, kind string, x double, y double, w double, h double")
     assert {r.layer: r.authored for r in transforms.authored_groups(e, ["p"]).collect()} == {"L": False, "M": True}
+    clip = e.withColumn("clip", F.lit(False)).unionByName(spark.createDataFrame([(1, "M", "M0", "layer", 0.0, 0.0, 9.0, 9.0, True)], "p int, id string, parent string, kind string, x double, y double, w double, h double, clip boolean"))
+    assert {r.layer: r.authored for r in transforms.authored_groups(clip, ["p"]).collect()} == {"L": False, "M": False, "M0": True}
     m = spark.createDataFrame([(1, "g", "a", "shape"), (1, "g", "b", "text"), (1, "h", "c", "shape"), (1, "h", "d", "table"), (1, "k", "e", "shape")], "p int, group string, id string, kind string")
     assert [(r.group, r.members) for r in transforms.kept_groups(m, ["p"]).collect()] == [("g", ["a", "b"])]
 
