@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import document_queries, join_queries, ordered_queries, rule_queries, text_queries, time_queries  # noqa: F401
+from . import document_queries, join_queries, operator_queries, ordered_queries, rule_queries, text_queries, time_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 
