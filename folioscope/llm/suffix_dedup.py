@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import OTHER_BYTE, blocks, prefix_sums, read, release, span_hashes, stored, trim
 
@@ -469,6 +470,39 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return whole.select(*[F.when(F.col("record")[c].isNotNull(), F.col("kept")).alias(c) if c == text else F.col("record")[c].alias(c) for c in docs.columns])
 
 
+#: Bytes that the first ranks of doubled_windows() compare, and bits of a place inside a text.
+FIRST_BYTES, PLACE_BITS = 8, 24
+
+
+def doubled_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+    """(id, at): starts of windows that a text with a smaller id has too, by prefix doubling over every position.
+
+    Spark sorts positions by their ranks at some length and at that distance further on; equal pairs get one new rank, the
+    least position of theirs, and what stands in one text alone leaves, until ranks are ``length`` bytes long. No hashes.
+    It moves every position in every round: README has figures, and why repeated_spans() samples positions instead. For
+    unique ids from 0 and texts under 16 MB; ``length`` must be FIRST_BYTES or more. Null and empty texts have no windows.
+    """
+    spark = docs.sparkSession
+    ident = F.col(id_col).cast("long")
+    data = docs.select(ident.alias("id"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("data"))
+    places = F.sequence(F.lit(0), F.octet_length("data") - FIRST_BYTES)
+    pairs = data.where(F.octet_length("data") >= length).select("id", "data", F.explode(places).alias("at")).select("id", "at", F.substring("data", F.col("at") + 1, FIRST_BYTES).alias("here"), F.lit(0).cast("long").alias("there"))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        same = Window.partitionBy("here", "there")
+        own = pairs.withColumn("rank", F.min(F.shiftleft("id", PLACE_BITS) + F.col("at")).over(same))
+        several = own.withColumn("several", F.min("id").over(same) < F.max("id").over(same)).where("several")
+        return stored(several.select("id", "at", "rank"))
+
+    ranks, width = ranked(pairs), FIRST_BYTES
+    while width < length:
+        step = min(width, length - width)
+        ahead = ranks.select("id", (F.col("at") - step).alias("at"), F.col("rank").alias("there"))
+        ranks, width = ranked(ranks.withColumnRenamed("rank", "here").join(ahead, ["id", "at"])), width + step
+        release(spark)
+    return ranks.where(F.shiftright("rank", PLACE_BITS) < F.col("id")).select("id", "at")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when 50-byte strings of documents with smaller ids are removed."""
     out = repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -127,3 +127,19 @@ def test_columns_with_the_names_of_the_operator(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string, kept string, __row string, __null string, row int, hash int")
     out = S.without_repeats(df)
     assert out.columns == df.columns and {tuple(r[2:]) for r in out.collect()} == {("k", "r", "n", 1, 2)}
+
+
+def test_prefix_doubling_gives_the_same_windows(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i), "".join(rng.choice(list("abé"), rng.integers(0, 90)))) for i in rng.permutation(50)] + [(50, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    for length in (8, 11):
+        first = {}
+        texts = {i: (t or "").encode() for i, t in rows}
+        for i in sorted(texts):
+            for k in range(len(texts[i]) - length + 1):
+                first.setdefault(texts[i][k : k + length], i)
+        want = {(i, k) for i, b in texts.items() for k in range(len(b) - length + 1) if first[b[k : k + length]] < i}
+        assert {tuple(r) for r in S.doubled_windows(df, length=length).collect()} == want and want
+        removed = {i: n for i, _, n, _, _ in found(df, length, gram=3)}
+        assert removed == {i: len({j for w, k in want if w == i for j in range(k, k + length)}) for i, _ in rows}
