@@ -298,3 +298,61 @@ def qb1_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = jobs.select(key.alias("to"), F.col("name").alias("found"))
     targets = jobs.withColumn("to", to).join(named, "to", "left").select("name", F.coalesce("found", F.lit("not there")).alias("target"))
     return graph.batch_plan(jobs.select("name"), targets)
+
+
+_BLOCKS = """
+b AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS id, CASE l_returnflag WHEN 'A' THEN 'table' WHEN 'R' THEN 'page_break' ELSE 'empty' END AS kind FROM lineitem)
+"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the blocks of a document: tables, page breaks and empty paragraphs."""
+    kind = F.when(F.col("l_returnflag") == "A", "table").when(F.col("l_returnflag") == "R", "page_break").otherwise("empty")
+    return _lines(spark, sf_dir).withColumn("kind", kind)
+
+
+@query(f"""
+WITH {_BLOCKS} SELECT page, id, kind = 'empty' AND coalesce(lag(kind) OVER w = 'table' AND lead(kind) OVER w IN ('table', 'page_break'), FALSE) AS between_tables FROM b WINDOW w AS (PARTITION BY page ORDER BY id)
+""")
+def qb2_between_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty paragraphs that keep two tables apart."""
+    return transforms.empty_between_tables(_blocks(spark, sf_dir), ["page"], "id").select("page", "id", "between_tables")
+
+
+@query(f"""
+WITH {_LINES} SELECT page, id FROM lines WHERE x <= 30 AND NOT (h > 10 OR w = 6 OR y = 0 OR id = 1) AND x > 10
+""")
+def qb3_emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that a pass emptied and that nothing needs."""
+    own = _lines(spark, sf_dir)
+    after = own.select("page", "id", (F.col("x") <= 30).alias("empty"), (F.col("h") > 10).alias("has_section"), (F.col("w") == 6).alias("only_in_container"), (F.col("y") == 0).alias("last_of_required"), (F.col("id") == 1).alias("between_tables"))
+    return transforms.emptied(own.select("page", "id", (F.col("x") <= 10).alias("empty")), after, ["page"])
+
+
+@query("""
+SELECT l_orderkey AS page, l_linenumber AS row FROM lineitem GROUP BY ALL HAVING bool_or(l_returnflag = 'R') AND NOT coalesce(max(CASE WHEN l_linestatus = 'F' THEN l_quantity END) > 30, FALSE)
+""")
+def qb4_protected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that gained a picture no taller than a page, where its height is known."""
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), (F.col("l_returnflag") == "R").alias("gained"), F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("picture_height"))
+    return transforms.protected_rows(cells, ["page"], F.lit(30.0))
+
+
+@query("""
+SELECT conv_id, coalesce(min_by(length(text) % 2 = 0, turn) FILTER (WHERE role = 'user' AND length(text) % 3 > 0), conv_id % 2 = 0) AS right_to_left FROM conversations GROUP BY conv_id
+""")
+def qb5_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of conversations: what the first turn that states one says, else the anchor's."""
+    n = F.length("text")
+    said = table(spark, sf_dir, "conversations").withColumn("rtl", F.when((F.col("role") == "user") & (n % 3 > 0), n % 2 == 0))
+    return transforms.direction(said, ["conv_id"], F.col("conv_id") % 2 == 0, "turn")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'ink_unsupported' WHEN p_size % 3 = 0 THEN 'graphic_unsupported' WHEN p_size % 5 = 0 THEN 'textbox' WHEN p_size % 7 = 0 THEN 'picture' ELSE 'unsupported' END AS kind FROM part
+""")
+def qb6_anchor_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as anchored objects that may be several things at once."""
+    n = F.col("p_size")
+    own = table(spark, sf_dir, "part").select("p_partkey", *[(n % k == 0).alias(c) for k, c in ((2, "ink"), (3, "graphic"), (5, "textbox"), (7, "picture"))])
+    return own.select("p_partkey", transforms.anchor_kind().alias("kind"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measure, text
-from ..operators import inventory, ordered, sets
+from ..operators import fonts, inventory, ordered, sets
 from .registry import query, table, tokens_sql
 
 
@@ -214,11 +214,15 @@ def q14_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.first_of(docs, ["lang", "source_key"], ["doc_id"])
 
 
-@query("SELECT l_suppkey, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query("""
+SELECT replace(lower(trim(p_brand)), 'ß', 'ss') AS key, replacement, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT p_brand AS b, min(p_type) AS replacement FROM part GROUP BY 1 HAVING max(p_size) > 45) ON b = p_brand GROUP BY 1, 2
+""")
 def q56_substitution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each supplier delivers each brand."""
-    both = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return both.groupBy("l_suppkey", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    """How often lines use a brand that is replaced by one of its types."""
+    part = table(spark, sf_dir, "part")
+    uses = table(spark, sf_dir, "lineitem").select("l_partkey").join(part.select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit(" "), "p_brand").alias("family")), "l_partkey")
+    chosen = part.groupBy("p_brand").agg(F.min("p_type").alias("replacement"), F.max("p_size").alias("most")).where("most > 45")
+    return fonts.substitution_counts(uses, chosen.select(text.family_key(F.col("p_brand")).alias("key"), "replacement"))
 
 
 @query("SELECT p_brand, p_type, bool_or(p_size > 40) AS large, bool_or(p_retailprice > 950) AS dear FROM part GROUP BY ALL")
