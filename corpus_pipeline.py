@@ -6,8 +6,8 @@ documents; the last gives ids. A stage's rows are written as Parquet and read ag
 In all stages: extra columns stay as they are, whatever their names (the last drops them); an empty table gives no rows; texts
 are taken whole, whatever their length, and one must fit in a Python worker. Null and empty texts go in the first stage. Rows
 that repeat an id are one group of copies in the second, where the one with the smallest text stays, as are ties of any kind:
-the smallest id stays. Rows without an id count as one id there, kept only if no row of their group has one; later stages
-neither take text from them nor compare others with them.
+the smallest id stays. Rows without an id count as one id there, kept only if no row of their group has one; the third stage
+neither takes text from them nor from others because of them.
 """
 
 from __future__ import annotations
