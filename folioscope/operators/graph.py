@@ -38,9 +38,96 @@ def on_or_between_cycles(edges: DataFrame) -> DataFrame:
     return left
 
 
+#: Edges that the driver takes at once, where a graph is this small or what is left of one.
+FEW_EDGES = 1 << 16
+
+
+def _in_cycles(edges: list[tuple]) -> list:
+    """Nodes with an edge inside a strongly connected component, by Tarjan's walk."""
+    ahead: dict = {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        ahead.setdefault(b, [])
+    number, low, part, path = {}, {}, {}, []
+    for root in ahead:
+        if root in number:
+            continue
+        walk = [(root, iter(ahead[root]))]
+        number[root] = low[root] = len(number)
+        path.append(root)
+        while walk:
+            node, rest = walk[-1]
+            for b in rest:
+                if b not in number:
+                    number[b] = low[b] = len(number)
+                    path.append(b)
+                    walk.append((b, iter(ahead[b])))
+                    break
+                if b not in part:
+                    low[node] = min(low[node], number[b])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    while True:
+                        x = path.pop()
+                        part[x] = node
+                        if x == node:
+                            break
+    return list({a for a, b in edges if part[a] == part[b]})
+
+
+def _few(edges: DataFrame) -> DataFrame:
+    """(a) of the few edges of a small graph that are on a cycle."""
+    nodes = _in_cycles([tuple(r) for r in edges.select("a", "b").collect()])
+    return edges.sparkSession.createDataFrame([(x,) for x in nodes], edges.select("a").schema)
+
+
+def least_reached(edges: DataFrame) -> DataFrame:
+    """(node, least): the least node that each one of (a, b) reaches, itself included.
+
+    A round looks at the nodes ahead and at the least one known, so that ways grow by a factor where the order is random.
+    """
+    known = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("least", F.col("node")))
+    while True:
+        ahead = edges.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("least").alias("b")))
+        seen = ahead.join(known.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "least", F.lit(None).cast("long").alias("own"))
+        now = cut(seen.unionByName(known.withColumn("own", F.col("least"))).groupBy("node").agg(F.min("least").alias("least"), F.max("own").alias("own")))
+        known = now.select("node", "least")
+        if now.where("least < own").isEmpty():
+            return known
+
+
+def _alike(edges: DataFrame, label: DataFrame, name: str) -> DataFrame:
+    """The edges whose two ends have the same label, with it."""
+    ends = edges.join(label.select(F.col("node").alias("a"), F.col("least").alias(name)), "a").join(label.select(F.col("node").alias("b"), F.col("least").alias("__other")), "b")
+    return cut(ends.where(F.col(name) == F.col("__other")).drop("__other"))
+
+
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Chains are trimmed first, so that ways are only followed on and between cycles."""
-    return closure(on_or_between_cycles(edges)).where("a = b").select(F.col("a").alias("node"))
+    """Nodes that reach themselves: those with an edge inside a strongly connected component. No table is longer than nodes and edges together.
+
+    Few edges go to the driver. Else chains are trimmed first. Nodes get keys in a random order. A component has one least key that it reaches, and one
+    that it is reached from among those; where both are the same, that node's component is whole. Edges between unlike
+    nodes are on no cycle; those of unfinished components go round again.
+    """
+    known = cut(edges.select("a", "b").where("a is not null and b is not null").distinct())
+    if known.count() <= FEW_EDGES:
+        return _few(known).withColumnRenamed("a", "node")
+    left = on_or_between_cycles(known)
+    # xxhash64 takes one whole number to another, never two to the same.
+    keys = cut(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("key", F.xxhash64(F.monotonically_increasing_id())))
+    start, end = (keys.select(F.col("node").alias(c), F.col("key").alias(f"__{c}")) for c in "ab")
+    rest = cut(left.join(start, "a").join(end, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    found = rest.select("a").where("false")
+    while rest.count() > FEW_EDGES:
+        down = _alike(rest, least_reached(rest), "down")
+        both = _alike(down, least_reached(down.select(F.col("b").alias("a"), F.col("a").alias("b"))), "up")
+        found = found.unionByName(both.where("down = up").select("a"))
+        rest = both.where("down <> up").select("a", "b")
+    found = found.unionByName(_few(rest))
+    return keys.join(found.distinct().withColumnRenamed("a", "key"), "key").select("node")
 
 
 def batch_plan(jobs: DataFrame, targets: DataFrame) -> DataFrame:
