@@ -19,6 +19,7 @@ batches. There a group of texts sends a window once. So no bucket gets more of a
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,15 @@ SCAN_BYTES, BATCH_BYTES, TILE_BYTES = 4 << 20, 8 << 20, 1 << 19
 _TOP48 = np.uint64(0xFFFF_FFFF_FFFF_0000)
 #: Positions of one rank in a batch from which they go on without a bucket's word.
 HOT = 64
-#: Buckets that one exchange deals into at most; more take two exchanges, so that packed rows do not become tiny.
+#: Partitions that one exchange deals into at most; more take two exchanges, so that packed rows do not become tiny.
 FAN_OUT = 512
-#: Bytes of packed rows that the first exchange's tasks put together at a time.
-REGROUP_BYTES = 16 << 20
+#: Buckets that share a partition at most, where there are more than FAN_OUT: its task parts them, as a second exchange would
+#: put everything on disk twice.
+SHARED = 64
+#: Passes over the windows of round three, each with its share of their names, so that only that share is on disk.
+PASSES = 2
+#: Bytes of packed rows that the first exchange's tasks put together at a time, and that a task parts by bucket at a time.
+REGROUP_BYTES, SPLIT_BYTES = 16 << 20, 8 << 20
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -188,6 +194,49 @@ def to_buckets(packed: DataFrame, n: int, fan_out: int | None = None) -> DataFra
     return packed.repartitionById(n, F.col("part"))
 
 
+#: How a position stands when it leaves its batch: a bucket decides; removed; goes on to round three.
+ASKS, REMOVED, GOES_ON = 0, 1, 2
+
+
+def bucket_of(x: dict[str, np.ndarray], key: str, n_buckets: int) -> np.ndarray:
+    """The bucket of each row: by its name if that is still to be decided, else any."""
+    return (np.where(x["state"] != ASKS, x["row"].view(np.uint64), x[key] >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], key: str, n_buckets: int, wide: int) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of a partition, one bucket after the other. Where it holds several, they wait in a file of the task's own, and one is in memory."""
+    blobs = (data for batch in batches for data in batch.column(1).to_pylist())
+    if wide == 1:
+        whole = [joined(list(blobs))]
+        if whole[0]:
+            yield whole.pop()  # not kept here, so that it can go
+        return
+    with tempfile.TemporaryFile() as file:
+        places: dict[int, list[tuple[int, int]]] = {}
+
+        def put(held: list[bytes]) -> None:
+            x = joined(held)
+            for b, data in dealt(bucket_of(x, key, n_buckets), **x) if x else ():
+                places.setdefault(b, []).append((file.tell(), len(data)))
+                file.write(data)
+
+        held, size = [], 0
+        for data in blobs:
+            held.append(data)
+            size += len(data)
+            if size > SPLIT_BYTES:
+                put(held)
+                held, size = [], 0
+        put(held)
+        del held
+        for b in sorted(places):
+            own = []
+            for at, n in places[b]:
+                file.seek(at)
+                own.append(file.read(n))
+            yield joined(own)
+
+
 def _hot(rank: np.ndarray, context: np.ndarray, ident: np.ndarray) -> np.ndarray:
     """Positions whose rank stands here over HOT times, under several contexts and ids, but for those with the least and greatest of both."""
     out = np.zeros(len(rank), bool)
@@ -205,12 +254,8 @@ def _hot(rank: np.ndarray, context: np.ndarray, ident: np.ndarray) -> np.ndarray
     return out
 
 
-#: How a position stands when it leaves its batch: a bucket decides; removed; goes on to round three.
-ASKS, REMOVED, GOES_ON = 0, 1, 2
-
-
-def _scan(length: int, gram: int, n_buckets: int):
-    """Rows (id, row, part, text) to packed positions by bucket of their rank."""
+def _scan(length: int, gram: int, n_buckets: int, wide: int = 1):
+    """Rows (id, row, part, text) to packed positions by bucket of their rank, ``wide`` buckets together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in blocks(batches, "text", SCAN_BYTES):
@@ -227,36 +272,34 @@ def _scan(length: int, gram: int, n_buckets: int):
             state[asks[_hot(rank[asks], context[asks], ident[asks])]] = GOES_ON
             # What is decided only passes through, by any bucket: a hot rank sends its bucket no more than a few rows a batch.
             rank[state != ASKS] = context[state != ASKS] = 0
-            bucket = (np.where(state != ASKS, row[text].view(np.uint64), rank >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
-            yield from rows_of(dealt(bucket, rank=rank, context=context, id=ident, row=row[text], group=group[text], first=first.astype(np.uint32), count=count.astype(np.uint16), state=state))
+            x = {"rank": rank, "context": context, "id": ident, "row": row[text], "group": group[text], "first": first.astype(np.uint32), "count": count.astype(np.uint16), "state": state}
+            yield from rows_of(dealt(bucket_of(x, "rank", n_buckets) // wide, **x))
 
     return work
 
 
-def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rank(batches: Iterator[pa.RecordBatch], n_buckets: int = 1, wide: int = 1) -> Iterator[pa.RecordBatch]:
     """Rounds one and two in a bucket. Gives, by group of texts: runs of windows to remove (open 0), or to look at one by one (open 1)."""
-    x = joined([b for batch in batches for b in batch.column(1).to_pylist()])
-    if not x:
-        return
-    remove, go_on = x["state"] == REMOVED, x["state"] == GOES_ON
-    asks = np.flatnonzero(x["state"] == ASKS)
-    if len(asks):
-        rank, context, ident = x["rank"][asks], x["context"][asks], x["id"][asks]
-        own = ident > least_by((context, rank), ident)
-        remove[asks] = own
-        # The first rows of each context; a rank that several contexts and ids share goes on with them.
-        order = np.argsort(rank)
-        edge = np.flatnonzero(_fresh((rank,), order))
-        several = np.ones(len(edge), bool)
-        for value in (context[order], ident[order]):
-            several &= np.minimum.reduceat(value, edge) != np.maximum.reduceat(value, edge)
-        whole = np.empty(len(order), bool)
-        whole[order] = np.repeat(several, np.diff(np.append(edge, len(order))))
-        go_on[asks] = whole & ~own
-    keep = remove | go_on
-    yield from rows_of(dealt(x["group"][keep], row=x["row"][keep], id=x["id"][keep], first=x["first"][keep], count=x["count"][keep], open=go_on[keep].astype(np.uint8)))
-    del x
-    trim()
+    for x in by_bucket(batches, "rank", n_buckets, wide):
+        remove, go_on = x["state"] == REMOVED, x["state"] == GOES_ON
+        asks = np.flatnonzero(x["state"] == ASKS)
+        if len(asks):
+            rank, context, ident = x["rank"][asks], x["context"][asks], x["id"][asks]
+            own = ident > least_by((context, rank), ident)
+            remove[asks] = own
+            # The first rows of each context; a rank that several contexts and ids share goes on with them.
+            order = np.argsort(rank)
+            edge = np.flatnonzero(_fresh((rank,), order))
+            several = np.ones(len(edge), bool)
+            for value in (context[order], ident[order]):
+                several &= np.minimum.reduceat(value, edge) != np.maximum.reduceat(value, edge)
+            whole = np.empty(len(order), bool)
+            whole[order] = np.repeat(several, np.diff(np.append(edge, len(order))))
+            go_on[asks] = whole & ~own
+        keep = remove | go_on
+        yield from rows_of(dealt(x["group"][keep], row=x["row"][keep], id=x["id"][keep], first=x["first"][keep], count=x["count"][keep], open=go_on[keep].astype(np.uint8)))
+        del x
+        trim()
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
@@ -292,8 +335,8 @@ def window_names(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
     return span_hashes(prefix_sums(data), start, start + length), (span_hashes(prefix_sums(data, OTHER_BYTE), start, start + length) >> np.uint64(32)).astype(np.uint32)
 
 
-def _windows(length: int, n_buckets: int):
-    """A group's texts and open runs to packed windows by bucket of their name. A window goes once, with the smallest id that has it in the group."""
+def _windows(length: int, n_buckets: int, wide: int = 1, passes: int = 1, turn: int = 0):
+    """A group's texts and open runs to packed windows by bucket of their name, those of this turn. A window goes once, with the smallest id that has it in the group."""
 
     def work(texts: pa.Table, runs: pa.Table) -> pa.Table:
         x = joined(runs["data"].to_pylist())
@@ -316,34 +359,34 @@ def _windows(length: int, n_buckets: int):
                 for low in range(0, len(whole), TILE_BYTES):
                     own = start[(start >= low) & (start < low + TILE_BYTES) & (start + length <= len(whole))]
                     if len(own):
-                        names = window_names(whole[low : low + TILE_BYTES + length], own - low, length)
-                        found.append((*names, np.full(len(own), i, np.int64), np.full(len(own), r, np.int64), own.astype(np.uint32)))
+                        h, check = window_names(whole[low : low + TILE_BYTES + length], own - low, length)
+                        now = h % np.uint64(passes) == turn
+                        n = int(now.sum())
+                        found.append((h[now], check[now], np.full(n, i, np.int64), np.full(n, r, np.int64), own[now].astype(np.uint32)))
             if found:
                 h, check, ident, row, start = (np.concatenate(v) for v in zip(*found, strict=True))
                 done = ident > least_by((h, check), ident)
                 h[done] = check[done] = 0
-                part = (np.where(done, row.view(np.uint64), h >> np.uint64(16)) % np.uint64(n_buckets)).astype(np.int64)
                 p = np.full(len(h), texts["part"][0].as_py(), np.int32)
                 order = np.argsort(h)
-                out = list(dealt(part[order], hash=h[order], check=check[order], id=ident[order], row=row[order], group=p[order], first=start[order], state=done[order].astype(np.uint8)))
+                x = {"hash": h[order], "check": check[order], "id": ident[order], "row": row[order], "group": p[order], "first": start[order], "state": done[order].astype(np.uint8)}
+                out = list(dealt(bucket_of(x, "hash", n_buckets) // wide, **x))
         trim()
         return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return work
 
 
-def _past_threshold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _past_threshold(batches: Iterator[pa.RecordBatch], n_buckets: int = 1, wide: int = 1) -> Iterator[pa.RecordBatch]:
     """Round three in a bucket: windows that a smaller id has, by group of texts."""
-    x = joined([b for batch in batches for b in batch.column(1).to_pylist()])
-    if not x:
-        return
-    keep = x["state"] == REMOVED
-    asks = np.flatnonzero(~keep)
-    keep[asks] = x["id"][asks] > least_by((x["hash"][asks], x["check"][asks]), x["id"][asks])
-    n = int(keep.sum())
-    yield from rows_of(dealt(x["group"][keep], id=x["id"][keep], row=x["row"][keep], first=x["first"][keep], count=np.ones(n, np.uint16), open=np.zeros(n, np.uint8)))
-    del x, keep
-    trim()
+    for x in by_bucket(batches, "hash", n_buckets, wide):
+        keep = x["state"] == REMOVED
+        asks = np.flatnonzero(~keep)
+        keep[asks] = x["id"][asks] > least_by((x["hash"][asks], x["check"][asks]), x["id"][asks])
+        n = int(keep.sum())
+        yield from rows_of(dealt(x["group"][keep], id=x["id"][keep], row=x["row"][keep], first=x["first"][keep], count=np.ones(n, np.uint16), open=np.zeros(n, np.uint8)))
+        del x, keep
+        trim()
 
 
 FOUND = "id bigint, text_bytes binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>"
@@ -392,14 +435,17 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int, gram: int) -> tu
     n_buckets, groups = max(8, -(-total // BUCKET_BYTES)), max(8, -(-total // GROUP_BYTES))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string")).alias("row"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text).cast("string"), F.lit(3)), F.lit(groups)).cast("int").alias("part"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     packed = "part int, data binary"
-    positions = source.where("id is not null").mapInArrow(_scan(length, gram, n_buckets), packed)
-    ranked = stored(to_buckets(positions, n_buckets).mapInArrow(_rank, packed))
-    release(docs.sparkSession)
-    texts = source.mapInArrow(packed_texts, packed)
-    windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, n_buckets), packed)
-    last = stored(to_buckets(windows, n_buckets).mapInArrow(_past_threshold, packed))
+    wide = min(SHARED, -(-n_buckets // FAN_OUT))
+    parts, passes = -(-n_buckets // wide), PASSES if n_buckets > 8 else 1
+    positions = source.where("id is not null").mapInArrow(_scan(length, gram, n_buckets, wide), packed)
+    ranked = stored(to_buckets(positions, parts).mapInArrow(lambda batches: _rank(batches, n_buckets, wide), packed))
     release(docs.sparkSession)
-    return texts, ranked.unionByName(last)
+    texts, runs = source.mapInArrow(packed_texts, packed), ranked
+    for turn in range(passes):
+        windows = texts.groupBy("part").cogroup(ranked.groupBy("part")).applyInArrow(_windows(length, n_buckets, wide, passes, turn), packed)
+        runs = runs.unionByName(stored(to_buckets(windows, parts).mapInArrow(lambda batches: _past_threshold(batches, n_buckets, wide), packed)))
+        release(docs.sparkSession)
+    return texts, runs
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM) -> DataFrame:

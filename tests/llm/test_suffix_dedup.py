@@ -143,3 +143,37 @@ def test_prefix_doubling_gives_the_same_windows(spark):
         assert {tuple(r) for r in S.doubled_windows(df, length=length).collect()} == want and want
         removed = {i: n for i, _, n, _, _ in found(df, length, gram=3)}
         assert removed == {i: len({j for w, k in want if w == i for j in range(k, k + length)}) for i, _ in rows}
+
+
+def test_buckets_that_share_a_partition_take_one_exchange(spark, monkeypatch):
+    rows = hot_rows(300, 8) + [(1000 + i, t) for i, t in hot_rows(300, 9)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    monkeypatch.setattr(S, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(S, "FAN_OUT", 4)
+    exchanges, kept = [], S.stored
+
+    def stored(df):
+        exchanges.append(df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"))
+        return kept(df)
+
+    monkeypatch.setattr(S, "stored", stored)
+    assert found(df) == brute(rows)
+    assert set(exchanges) == {1} and len(exchanges) == 1 + S.PASSES
+
+
+def test_a_task_parts_its_buckets(monkeypatch):
+    monkeypatch.setattr(S, "SPLIT_BYTES", 3000)
+    rng = np.random.default_rng(4)
+    n = 5000
+    row = rng.integers(0, 40, n)
+    x = {"hash": rng.integers(0, 1 << 63, n).astype(np.uint64), "row": row, "id": row + 3, "state": rng.integers(0, 2, n).astype(np.uint8)}
+    bucket = S.bucket_of(x, "hash", 20)
+    for part in range(3):
+        own = bucket // 8 == part
+        cuts = np.array_split(np.flatnonzero(own), 9)
+        blobs = [d for c in cuts for _, d in S.dealt(np.full(len(c), part), **{k: v[c] for k, v in x.items()})]
+        batches = [next(S.rows_of([(part, d)])) for d in blobs]
+        out = list(S.by_bucket(iter(batches), "hash", 20, 8))
+        assert [set(S.bucket_of(y, "hash", 20).tolist()) for y in out] == [{b} for b in range(part * 8, min(20, part * 8 + 8))]
+        assert sorted(zip(*[np.concatenate([y[k] for y in out]).tolist() for k in x], strict=True)) == sorted(zip(*[v[own].tolist() for v in x.values()], strict=True))
+    assert list(S.by_bucket(iter([]), "hash", 20, 8)) == [] == list(S.by_bucket(iter([]), "hash", 20, 1))
