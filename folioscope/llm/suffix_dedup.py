@@ -511,9 +511,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     clean = texts.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(work, "id bigint, row bigint, kept string").select(F.col("id").alias("of"), "row", "kept")
     ident = F.col(id_col).cast("long")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"), ident.alias("id"), F.xxhash64(ident, F.col(text).cast("string")).alias("hash"))
+    # The text itself stays out of this join: its row is found by id and hash.
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    keyed = docs.select(others.alias("record"), F.col(text).isNotNull().alias("stated"), ident.alias("id"), F.xxhash64(ident, F.col(text).cast("string")).alias("hash"))
     whole = keyed.join(clean, (F.col("hash") == F.col("row")) & F.col("id").eqNullSafe(F.col("of")))
-    return whole.select(*[F.when(F.col("record")[c].isNotNull(), F.col("kept")).alias(c) if c == text else F.col("record")[c].alias(c) for c in docs.columns])
+    return whole.select(*[F.when(F.col("stated"), F.col("kept")).alias(c) if c == text else F.col("record")[c].alias(c) for c in docs.columns])
 
 
 #: Bytes that the first ranks of doubled_windows() compare, and bits of a place inside a text.

@@ -177,3 +177,14 @@ def test_a_task_parts_its_buckets(monkeypatch):
         assert [set(S.bucket_of(y, "hash", 20).tolist()) for y in out] == [{b} for b in range(part * 8, min(20, part * 8 + 8))]
         assert sorted(zip(*[np.concatenate([y[k] for y in out]).tolist() for k in x], strict=True)) == sorted(zip(*[v[own].tolist() for v in x.values()], strict=True))
     assert list(S.by_bucket(iter([]), "hash", 20, 8)) == [] == list(S.by_bucket(iter([]), "hash", 20, 1))
+
+
+def test_the_text_is_not_joined_to_itself(spark):
+    def joins(plan):
+        children = [plan.children().apply(k) for k in range(plan.children().size())]
+        return [plan] * (plan.nodeName() == "Join") + [j for c in children for j in joins(c)]
+
+    df = spark.createDataFrame([(i, t, i) for i, t in hot_rows(30, 11)], "doc_id int, text string, n int")
+    (join,) = joins(S.without_repeats(df)._jdf.queryExecution().optimizedPlan())
+    columns = join.children().apply(0).output()
+    assert not any("string" in columns.apply(k).dataType().catalogString() for k in range(columns.size()))
