@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, crc32_of, one_thread, owners, read, release, stored, trim, word_table
+from .common import LOWER, SPACES, crc32_of, one_thread, read, release, stored, trim, word_table
 from .suffix_dedup import pack, packed_texts, texts_of, unpack
 
 #: Words with vectors of their own: the size of the model. The most frequent of them are told apart in the first step.
@@ -226,10 +226,11 @@ class Symbols:
     def sequences(self, data: np.ndarray, at: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, text, contexts) of every token, the ends included; a context before the text's start is ``end + 1``. ``words`` and ``own`` are given if known."""
         start, end, hashes = words or word_table(data, at, ~SPACES)
-        own = self.own(hashes) if own is None else own
-        symbol = np.where(own >= 0, own, self.top + self.first[1:][word_class(data, start, end)] - 1)
+        symbol = self.own(hashes) if own is None else own.copy()
+        other = np.flatnonzero(symbol < 0)
+        symbol[other] = self.top + self.first[1:][word_class(data, start[other], end[other])] - 1
         n = len(at) - 1
-        of = owners(start, at)
+        of = texts_with(start, at)
         place = np.arange(len(start)) + of  # an end stands behind the words of each text
         total = np.full(len(start) + n, self.end, np.int32)
         total[place] = symbol
@@ -244,6 +245,11 @@ class Symbols:
         return total, text, context
 
 
+def texts_with(start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """owners() of spans in their order."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
+
+
 def in_turn(index: np.ndarray) -> np.ndarray:
     """Stable order of small numbers from -1 up; NumPy sorts 16 bits by radix."""
     return np.argsort((index + 1).astype(np.uint16) if len(index) and index.max() < 65_535 else index, kind="stable")
@@ -252,9 +258,12 @@ def in_turn(index: np.ndarray) -> np.ndarray:
 def summed_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct indices, and the sum of the rows of each."""
     order = in_turn(index)
-    ordered = index[order]
+    ordered = index.take(order)
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+    rows = rows.take(order, axis=0)
+    if rows.dtype == np.float32 and rows.shape[1] % 2 == 0:  # by pairs: reduceat() takes its time by column and index
+        return ordered.take(first), np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+    return ordered.take(first), np.add.reduceat(rows, first, axis=0)
 
 
 class Softmax:
@@ -265,20 +274,28 @@ class Softmax:
         self.cumulative = np.cumsum(self.noise)
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
 
-    def gradients(self, q: np.ndarray, y: np.ndarray, out: np.ndarray, bias: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the predictions, the vectors and the biases, for targets y, with NOISE symbols drawn for all of them."""
+    def gradients(self, q: np.ndarray, y: np.ndarray, out: np.ndarray, bias: np.ndarray, rng: np.random.Generator, of_q: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """Of the predictions (if ``of_q``), the vectors and the biases, for targets y, with NOISE symbols drawn for all of them."""
         drawn = np.minimum(np.searchsorted(self.cumulative, rng.random(NOISE)), len(out) - 1)
-        real = np.einsum("bd,bd->b", q, out[y]) + bias[y] - self.log_noise[y]
-        fake = q @ out[drawn].T + (bias[drawn] - self.log_noise[drawn])
+        own, noise = out.take(y, axis=0), out.take(drawn, axis=0)
+        g_real = np.einsum("bd,bd->b", q, own) + (bias - self.log_noise).take(y)
+        fake = q @ -noise.T
+        fake -= bias[drawn] - self.log_noise[drawn]
         with np.errstate(over="ignore"):
-            g_real = 1 / (1 + np.exp(real))  # of log sigmoid(real)
-            g_fake = -1 / (1 + np.exp(-fake))  # of log sigmoid(-fake)
-        g_q = g_real[:, None] * out[y] + g_fake @ out[drawn]
+            for x in (g_real, fake):  # of log sigmoid(real), and of -log sigmoid(-fake)
+                np.exp(x, out=x)
+                x += 1
+                np.divide(1, x, out=x)
+        g_q = None
+        if of_q:
+            g_q = fake @ -noise
+            own *= g_real[:, None]
+            g_q += own
         g_out, g_bias = np.zeros_like(out), np.bincount(y, g_real, minlength=len(bias)).astype(np.float32)
-        own, rows = summed_rows(y, g_real[:, None] * q)
-        g_out[own] = rows
-        np.add.at(g_out, drawn, g_fake.T @ q)
-        np.add.at(g_bias, drawn, g_fake.sum(axis=0))
+        seen, rows = summed_rows(y, g_real[:, None] * q)
+        g_out[seen] = rows
+        np.subtract.at(g_out, drawn, (q.T @ fake).T)
+        np.subtract.at(g_bias, drawn, np.ones(len(y), np.float32) @ fake)
         return g_q, g_out, g_bias
 
 
@@ -307,9 +324,14 @@ class LogBilinear:
         ]
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
+        """A prediction for each row of contexts, and 1 behind it: the factor of a bias."""
         if self.placed is None:
             self.placed = [self.values[0] @ place for place in self.values[1]]
-        return sum(self.placed[j][context[:, j]] for j in range(CONTEXT))
+        q = np.ones((len(context), self.placed[0].shape[1] + 1), np.float32)
+        for i in range(0, len(context), STEP):
+            c = context[i : i + STEP]
+            q[i : i + STEP, :-1] = sum(self.placed[j].take(c[:, j], axis=0) for j in range(CONTEXT))
+        return q
 
     def train(self, target: np.ndarray, context: np.ndarray, rng: np.random.Generator, state: dict) -> None:
         """One pass over tokens: the first step STEP at a time, then the members of each class. Vectors and matrices of the
@@ -320,12 +342,11 @@ class LogBilinear:
         output, said = self.output[target], np.empty((len(target), places.shape[2]), np.float32)
         for i in range(0, len(target), STEP):
             y, c = output[i : i + STEP], context[i : i + STEP]
-            inner = [seen[c[:, j]] for j in range(CONTEXT)]
-            q = sum(inner[j] @ places[j] for j in range(CONTEXT))
-            said[i : i + STEP] = q
+            inner = seen.take(c, axis=0).reshape(len(c), -1)  # the vectors of all places, side by side
+            q = said[i : i + STEP] = inner @ places.reshape(-1, places.shape[2])
             g_q, g_out, g_bias = self.head.gradients(q, y, self.values[2], self.values[3], rng)
-            g_places = np.stack([inner[j].T @ g_q for j in range(CONTEXT)])
-            own, rows = summed_rows(c.T.ravel(), np.concatenate([g_q @ places[j].T for j in range(CONTEXT)]))
+            g_places = (inner.T @ g_q).reshape(places.shape)
+            own, rows = summed_rows(c.ravel(), (g_q @ places.reshape(-1, places.shape[2]).T).reshape(-1, seen.shape[1]))
             state["t"] += 1
             t = state["t"]
             rate = 0.02 / np.sqrt(1 + t / 50)
@@ -345,25 +366,22 @@ class LogBilinear:
             for i in range(edge[k], edge[k + 1], STEP):
                 own = order[i : min(i + STEP, edge[k + 1])]
                 out, bias = self.values[4][a:b], self.values[5][a:b]
-                _, g_out, g_bias = self.tails[k].gradients(said[own], target[own] - self.top - a, out, bias, rng)
+                _, g_out, g_bias = self.tails[k].gradients(said.take(own, axis=0), target.take(own) - (self.top + a), out, bias, rng, of_q=False)
                 _adagrad(out, state["tail"][a:b], slice(None), g_out, TAIL_RATE)
                 bias += 0.5 * g_bias / len(own)
 
     def log10_probabilities(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Normalised over all symbols of the first step, and over the members of a class."""
         q = self.predicted(context)
-        out, bias = self.values[2], self.values[3]
-        output, found = self.output[target], np.empty(len(target))
-        for i in range(0, len(target), CONTEXTS_AT_ONCE):
-            found[i : i + CONTEXTS_AT_ONCE] = _log_softmax(q[i : i + CONTEXTS_AT_ONCE], out, bias, output[i : i + CONTEXTS_AT_ONCE])
+        found = _log_softmax(q, np.column_stack((self.values[2], self.values[3])), self.output[target])
         kind = self.kind[target]
         order = in_turn(kind)
         edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             a, b = int(self.first[k]), int(self.first[k + 1])
-            for i in range(edge[k], edge[k + 1], CONTEXTS_AT_ONCE) if b - a > 1 else ():
-                own = order[i : min(i + CONTEXTS_AT_ONCE, edge[k + 1])]
-                found[own] += _log_softmax(q[own], self.values[4][a:b], self.values[5][a:b], target[own] - self.top - a)
+            if b - a > 1:
+                own = order[edge[k] : edge[k + 1]]
+                found[own] += _log_softmax(q.take(own, axis=0), np.column_stack((self.values[4][a:b], self.values[5][a:b])), target.take(own) - (self.top + a))
         return found / np.log(10)
 
 
@@ -373,19 +391,27 @@ SEEN_RATE, TAIL_RATE = 0.03, 0.03
 
 def _adagrad(values: np.ndarray, total: np.ndarray, own: np.ndarray | slice, g: np.ndarray, rate: float) -> None:
     """A step for some rows, each with one sum of squares."""
-    total[own] += (g * g).mean(axis=1)
-    values[own] += rate * g / np.sqrt(total[own])[:, None]
-
-
-def _log_softmax(q: np.ndarray, out: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the normalised probability of each row's target."""
-    score = q @ out.T + bias
-    most = np.sqrt((q * q).sum(axis=1).max() * (out * out).sum(axis=1).max()) + np.abs(bias).max()
-    if not most < 70:  # else float32 holds all powers and their sums
-        score -= score.max(axis=1, keepdims=True)
-    own = score[np.arange(len(target)), target]
-    np.exp(score, out=score)
-    return own - np.log(score @ np.ones(score.shape[1], np.float32))
+    total[own] += np.einsum("bd,bd->b", g, g) / g.shape[1]
+    values[own] += g * (rate / np.sqrt(total[own]))[:, None]
+
+
+def _log_softmax(q: np.ndarray, out: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the normalised probability of each row's target. The last columns are 1 and the biases."""
+    found, ones = np.empty(len(q)), np.ones(len(out), np.float32)
+    if not len(q):
+        return found
+    length = [np.einsum("bd,bd->b", x[:, :-1], x[:, :-1]).max() for x in (q, out)]
+    most = np.sqrt(length[0] * length[1]) + np.abs(out[:, -1]).max()
+    kept = np.empty((min(len(q), CONTEXTS_AT_ONCE), len(out)), np.float32)
+    for i in range(0, len(q), CONTEXTS_AT_ONCE):
+        some = q[i : i + CONTEXTS_AT_ONCE]
+        score = np.matmul(some, out.T, out=kept[: len(some)])
+        if not most < 70:  # else float32 holds all powers and their sums
+            score -= score.max(axis=1, keepdims=True)
+        own = score[np.arange(len(some)), target[i : i + CONTEXTS_AT_ONCE]]
+        np.exp(score, out=score)
+        found[i : i + CONTEXTS_AT_ONCE] = own - np.log(score @ ones)
+    return found
 
 
 def _trained(symbols: Symbols):
@@ -399,7 +425,7 @@ def _trained(symbols: Symbols):
             for _, data, at in text_blocks([(i, t) for i, _, t in texts_of(groups.slice(k, 1))]):
                 target, _, context = symbols.sequences(data, at)
                 mixed = rng.permutation(len(target))
-                own.train(target[mixed], context[mixed], rng, state)
+                own.train(target.take(mixed), context.take(mixed, axis=0), rng, state)
                 as_context += np.bincount(context.ravel(), minlength=len(as_context))
                 as_target += np.bincount(target, minlength=len(as_target))
         of_output = np.bincount(own.output, as_target, minlength=own.outputs)
@@ -474,7 +500,7 @@ def _scored(symbols: Symbols, model: LogBilinear, buckets: int):
         held = texts.num_rows > 0 and texts["part"][0].as_py() % 2 == 1
         out: list[tuple[np.ndarray | list, ...]] = []
         for (ids, data, at), table, place in zip(text_blocks(whole), tables, placed, strict=True):
-            n, of = len(ids), owners(table[0], at)
+            n, of = len(ids), texts_with(table[0], at)
             sums_ = np.bincount(of, log_count[place], minlength=n) + np.log10(symbols.ends + 1.0)
             known = np.bincount(of, count[place] > 0, minlength=n).astype(np.int64) + (symbols.ends > 0)
             target, text, context = symbols.sequences(data, at, table, own_symbol[place])
