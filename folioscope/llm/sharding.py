@@ -61,6 +61,8 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # One row a bucket, put where its bucket is and hashed: the join neither moves nor sorts a record, at any size.
+    starts = starts.repartitionById(each * shards, F.col("bucket")).hint("shuffle_hash")
     return dealt.join(starts, "bucket").select(
         *[F.col("row.record")[c].alias(c) for c in payload],
         F.col("row.size").alias("size"),

@@ -121,3 +121,21 @@ def test_shards_are_those_of_a_plain_law(spark, sf, texts):
     got = {r.doc_id: r for r in S.op8_sharding(spark, sf).collect()}
     for i, _ in texts:
         assert got[i].shard == chosen(i, 8) and got[i].grown_shard == chosen(i, 9) and got[i].law == "key"
+
+
+def test_records_move_once_whatever_the_broadcast_threshold(spark, documents):
+    name, found = "spark.sql.autoBroadcastJoinThreshold", []
+    was = spark.conf.get(name)
+    try:
+        for threshold in ("-1", "1g"):
+            spark.conf.set(name, threshold)
+            out = S.shard_records(documents, 3, bucket_bytes=20_000)
+            plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+            dealt = next(i for i, line in enumerate(plan) if "Generate posexplode" in line)
+            assert not [line for line in plan[:dealt] if "Exchange" in line or "Sort" in line]
+            found.append(sorted((r.doc_id, r.shard, r.bucket, r.slot) for r in out.collect()))
+    finally:
+        spark.conf.set(name, was)
+    assert found[0] == found[1] and len({b for _, _, b, _ in found[0]}) > 3
+    for s in range(3):
+        assert sorted(slot for _, shard, _, slot in found[0] if shard == s) == list(range(sum(shard == s for _, shard, _, _ in found[0])))
