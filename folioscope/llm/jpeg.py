@@ -10,6 +10,7 @@ successive approximation; images without restart markers decode too, as one inte
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -57,26 +58,47 @@ def bit_sizes(x: np.ndarray) -> np.ndarray:
 
 
 def pack_rows(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of rows of codes, each row padded with ones to whole bytes, and the offsets of the rows."""
+    """Bytes of rows of codes, each row padded with ones to whole bytes, and the offsets of the rows.
+
+    Codes of size 0 are 0. Neighbours are joined while two fit into 56 bits, so that few are left to place.
+    """
+    size = size.astype(np.uint8)
+    while half := code.shape[1] // 2:
+        left, right = slice(0, 2 * half, 2), slice(1, 2 * half, 2)
+        both = size[:, left] + size[:, right]
+        if (most := int(both.max(initial=0))) > 56:
+            break
+        kind = np.uint32 if most <= 32 else np.uint64
+        code = np.concatenate((code[:, left].astype(kind) << size[:, right].astype(kind) | code[:, right].astype(kind), code[:, 2 * half :].astype(kind)), axis=1)
+        size = np.concatenate((both, size[:, 2 * half :]), axis=1)
+    code, size = code.astype(np.uint64), size.astype(np.int64)
     total = size.sum(axis=1)
     n_bytes = -(-total // 8)
     at = np.concatenate(([0], np.cumsum(n_bytes)))
-    offset = (np.cumsum(size, axis=1) - size + 8 * at[:-1, None])[size > 0]
-    code, size = code[size > 0], size[size > 0]
-    window = code << (64 - size - (offset & 7)).astype(np.uint64)
-    out = np.zeros(int(at[-1]) + 8, np.uint8)
-    place = offset >> 3
-    for j in range(8):
-        part = ((window >> np.uint64(56 - 8 * j)) & np.uint64(0xFF)).astype(np.uint8)
-        used = np.flatnonzero(part) if j else slice(None)
-        if j and not len(used):
-            if not (window << np.uint64(8 * j)).any():
-                break
-            continue
-        np.add.at(out, place[used] + j, part[used])
-    last = at[1:] - 1
-    out[last] |= ((1 << (8 * n_bytes - total)) - 1).astype(np.uint8)
-    return out[: at[-1]], at
+    pad = 8 * n_bytes - total
+    code = np.concatenate((code, ((1 << pad) - 1).astype(np.uint64)[:, None]), axis=1).ravel()
+    size = np.concatenate((size, pad[:, None]), axis=1).ravel()
+    offset = np.cumsum(size) - size
+    word = offset >> 6
+    free = 64 - (offset & 63) - size  # bits of the word behind the code, or less than 0: what lies in the next word
+    words = np.zeros((int(at[-1]) >> 3) + 2, np.uint64)
+    if len(word):
+        first = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1))
+        own = np.where(free >= 0, code << np.maximum(free, 0).astype(np.uint64), code >> np.maximum(-free, 0).astype(np.uint64))
+        words[word[first]] = np.bitwise_or.reduceat(own, first)
+        over = np.flatnonzero(free < 0)
+        words[word[over] + 1] |= code[over] << (64 + free[over]).astype(np.uint64)
+    return words.astype(">u8").view(np.uint8)[: int(at[-1])], at
+
+
+def joined_rows(whole: np.ndarray, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed rows in their order: those of ``whole`` from the first, all others from the second."""
+    n_bytes = np.zeros(len(whole), np.int64)
+    n_bytes[whole], n_bytes[~whole] = np.diff(one[1]), np.diff(other[1])
+    mine = np.repeat(whole, n_bytes)
+    out = np.zeros(len(mine), np.uint8)
+    out[mine], out[~mine] = one[0], other[0]
+    return out, np.concatenate(([0], np.cumsum(n_bytes)))
 
 
 def with_markers(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +109,13 @@ def with_markers(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[n
     rows = len(at) - 1
     lead = np.ones(rows, bool)
     lead[group[:-1]] = False  # a marker stands before the row
-    row_of = np.repeat(np.arange(rows), np.diff(at))
-    marks = np.cumsum(lead)
-    full = data == 0xFF
-    place = np.arange(len(data)) + np.cumsum(full) - full + 2 * marks[row_of]
-    size = len(data) + int(full.sum()) + 2 * int(marks[-1] if rows else 0)
-    out = np.zeros(size, np.uint8)
-    out[place] = data
-    first = place[at[:-1]]
     within = np.arange(rows) - np.repeat(group[:-1], np.diff(group))
-    out[first[lead] - 2] = 0xFF
-    out[first[lead] - 1] = 0xD0 + ((within[lead] - 1) & 7)
-    return out, np.append(first[group[:-1]], size)
+    full = np.flatnonzero(data == 0xFF)
+    marks = np.full((int(lead.sum()), 2), 0xFF, np.uint8)
+    marks[:, 1] = 0xD0 + ((within[lead] - 1) & 7)
+    out = np.insert(data, np.concatenate((full + 1, np.repeat(at[:-1][lead], 2))), np.concatenate((np.zeros(len(full), np.uint8), marks.ravel())))
+    edge = at[group]
+    return out, edge + np.searchsorted(full, edge) + 2 * np.concatenate(([0], np.cumsum(lead)))[group]
 
 
 def ac_first(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +141,130 @@ def ac_first(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code[:, :width] = np.where(held, code[:, :width] << own_size.astype(np.uint64) | own, 0)
     size[:, :width] = np.where(held, size[:, :width] + own_size, 0)
     ends = before[:, -1] < width - 1
-    code[:, width] = _AC_CODE[0]
+    code[:, width] = np.where(ends, _AC_CODE[0], 0)
     size[:, width] = np.where(ends, _AC_SIZE[0], 0)
     return code, size
 
 
+def _short_codes() -> tuple[np.ndarray, np.ndarray]:
+    """For a byte, and for two (the first one low): size << 24 | code of coefficients of 2 to 128 in a band's first scan, without zeros between."""
+    value = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int64)
+    low = np.sign(value) * (np.abs(value) >> 1)
+    bits = bit_sizes(low)
+    code = (_AC_CODE[bits].astype(np.int64) << bits) | np.where(low < 0, low + (1 << bits) - 1, low)
+    size = _AC_SIZE[bits] + bits
+    first, second = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+    return (size << 24 | code).astype(np.uint32), (size[first] + size[second] << 24 | code[first] << size[second] | code[second]).astype(np.uint32)
+
+
+_ONE, _TWO = _short_codes()
+
+
+def whole_first(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ac_first(), of whole coefficients of 2 to 128 in int8: no runs, no end of band, and a table has the codes of two."""
+    odd = c.shape[1] & 1
+    part = _TWO[np.ascontiguousarray(c[:, odd:]).view("<u2")]
+    if odd:
+        part = np.concatenate((_ONE[c[:, :1].view(np.uint8)], part), axis=1)
+    return part & np.uint32(0xFFFFFF), part >> np.uint32(24)
+
+
+def whole_refined(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed rows of ac_refined(), of coefficients of 2 to 128 in int8: an end of band, then the last bit of each."""
+    n, width = c.shape
+    lead = int(_AC_SIZE[0])
+    bits = np.ones((n, -(-(lead + width) // 8) * 8), np.uint8)
+    bits[:, :lead] = [int(_AC_CODE[0]) >> (lead - 1 - j) & 1 for j in range(lead)]
+    bits[:, lead : lead + width] = c.view(np.uint8) & np.uint8(1)
+    out = np.packbits(bits, axis=1)
+    return out.ravel(), np.arange(n + 1) * out.shape[1]
+
+
+def _run_codes() -> np.ndarray:
+    """By run << 8 | byte: size << 24 | code of a coefficient after so many zeros, up to 15, in a band's first scan."""
+    value = np.arange(256).astype(np.uint8).view(np.int8).astype(np.int64)
+    low = np.sign(value) * (np.abs(value) >> 1)
+    bits = bit_sizes(low)
+    symbol = np.arange(16)[:, None] << 4 | bits
+    found = (_AC_SIZE[symbol] + bits) << 24 | (_AC_CODE[symbol].astype(np.int64) << bits) | np.where(low < 0, low + (1 << bits) - 1, low)
+    return np.where(low != 0, found, 0).astype(np.uint32).ravel()
+
+
+_RUN = _run_codes()
+
+
+def narrow_first(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ac_first(), of whole coefficients in int8, and which rows have longer runs than a symbol names: those are not coded."""
+    n, width = c.shape
+    byte = c.view(np.uint8)
+    held = (byte + np.uint8(1)) > 2
+    k = np.arange(width, dtype=np.int8)
+    before = np.maximum.accumulate(np.where(held, k, np.int8(-1)), axis=1)
+    run = np.zeros((n, width), np.int8)
+    run[:, 1:] = k[1:] - before[:, :-1] - 1
+    long = (held & (run > 15)).any(axis=1)
+    part = np.zeros((n, width + 1), np.uint32)
+    part[:, :width] = _RUN[(run & np.int8(15)).astype(np.uint16) << 8 | byte]
+    part[before[:, -1] < width - 1, width] = int(_AC_SIZE[0]) << 24 | int(_AC_CODE[0])
+    return part & np.uint32(0xFFFFFF), part >> np.uint32(24), long
+
+
+def narrow_refined(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ac_refined(), of coefficients in int8."""
+    n, width = c.shape
+    byte = c.view(np.uint8)
+    known, zero = (byte + np.uint8(1)) > 2, byte == 0
+    zeros = np.zeros((n, width + 1), np.int8)
+    np.cumsum(zero, axis=1, out=zeros[:, 1:])
+    row, place = np.nonzero(~known & ~zero)  # the new ones; a header stands behind the one before
+    head = np.zeros(len(row), np.int64)
+    head[1:] = np.where(row[1:] == row[:-1], place[:-1] + 1, 0)
+    start = zeros[row, head].astype(np.int64)
+    run = zeros[row, place] - start
+    code, size = np.zeros((n, width + 1), np.uint32), np.zeros((n, width + 1), np.uint8)
+    # 16 zeros each of a longer run take a header, and what follows has its own behind them.
+    zero_row, zero_place = np.nonzero(zero)
+    for j in range(int(run.max(initial=0)) >> 4):
+        more = np.flatnonzero(run >> 4 > j)
+        code[row[more], head[more]], size[row[more], head[more]] = _AC_CODE[0xF0], _AC_SIZE[0xF0]
+        head[more] = zero_place[np.searchsorted(zero_row, row[more]) + start[more] + 16 * j + 15] + 1
+    symbol = (run & 15) << 4 | 1
+    code[row, head] = _AC_CODE[symbol] << np.uint64(1) | (c[row, place] > 0)
+    size[row, head] = _AC_SIZE[symbol] + 1
+    end = np.zeros(n, np.int64)
+    end[row] = place + 1  # the last one counts
+    rest = np.flatnonzero(end < width)
+    code[rest, end[rest]], size[rest, end[rest]] = _AC_CODE[0], _AC_SIZE[0]
+    code, size = code[:, :width], size[:, :width]
+    return code << known | (byte & known), size + known
+
+
+def packed_band(c: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed rows of a band's first scan or of its refinement: c holds the whole coefficients, a row for each block.
+
+    Bytes of text are mostly 2 or more from the middle of their range; rows of only such go by tables of two, others in int8
+    by tables of one.
+    """
+
+    def general(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = c.astype(np.int64)
+        return pack_rows(*(ac_refined(wide) if high else ac_first(np.sign(wide) * (np.abs(wide) >> 1))))
+
+    def narrow(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if high:
+            return pack_rows(*narrow_refined(c))
+        code, size, long = narrow_first(c)
+        return joined_rows(~long, pack_rows(code[~long], size[~long]), general(c[long])) if long.any() else pack_rows(code, size)
+
+    if c.dtype != np.int8:
+        return general(c)
+    whole = ((c.view(np.uint8) + np.uint8(1)) > 2).all(axis=1)
+    if whole.all():
+        return whole_refined(c) if high else pack_rows(*whole_first(c))
+    own = c[whole]
+    return joined_rows(whole, whole_refined(own) if high else pack_rows(*whole_first(own)), narrow(c[~whole]))
+
+
 def ac_refined(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a band's last refinement (Ah 1, Al 0): c holds the whole coefficients, a row for each block."""
     n, width = c.shape
@@ -211,50 +347,52 @@ def mcu_places(across: int, down: int) -> np.ndarray:
 def encode_images(coefficients: list[np.ndarray], comments: list[bytes]) -> list[bytes]:
     """Progressive JPEGs of images whose coefficient blocks (rows of 64 in zigzag order) are given, luma first.
 
-    Missing blocks of the last MCUs are zero. Quantisation is 1 throughout. Every MCU is a restart interval.
+    Missing blocks of the last MCUs are zero. Quantisation is 1 throughout. Every MCU is a restart interval. Coefficients
+    in int8 go the short way; the bytes are the same.
     """
     shapes = [geometry(len(c)) for c in coefficients]
     whole = [6 * a * d for a, d in shapes]
     base = np.concatenate(([0], np.cumsum(whole)))
-    every = np.zeros((int(base[-1]), 64), np.int64)
+    narrow = all(c.dtype == np.int8 for c in coefficients)
+    every = np.zeros((int(base[-1]), 64), np.int8 if narrow else np.int64)
     for c, b in zip(coefficients, base[:-1].tolist(), strict=True):
         every[b : b + len(c)] = c
     mcus = np.array([a * d for a, d in shapes])
     mcu_at = np.concatenate(([0], np.cumsum(mcus)))
     places = np.concatenate([mcu_places(a, d) + b for (a, d), b in zip(shapes, base[:-1].tolist(), strict=True)])
-    low = np.sign(every) * (np.abs(every) >> 1)
-    scans = []
+    scans, bands = [], []
+    for c in range(3):
+        start, count = (base[:-1], 4 * mcus) if c == 0 else (base[:-1] + (3 + c) * mcus, mcus)
+        group = np.concatenate(([0], np.cumsum(count)))
+        bands.append((every[np.repeat(start - group[:-1], count) + np.arange(int(group[-1]))], group))
+    dc = every[places, 0].astype(np.int64)
     for components, first, last, high, _ in SCRIPT:
         if first == 0:
-            dc = every[places, 0]
             if not high:
                 v = dc >> 1
                 v[:, 1:4] -= (dc >> 1)[:, 0:3]
                 code, size = dc_first(v)
             else:
                 code, size = (dc & 1).astype(np.uint64), np.ones(dc.shape, np.int64)
-            group = mcu_at
+            packed, group = pack_rows(code, size), mcu_at
         else:
-            c = components[0]
-            start, count = (base[:-1], 4 * mcus) if c == 0 else (base[:-1] + (3 + c) * mcus, mcus)
-            group = np.concatenate(([0], np.cumsum(count)))
-            own = np.repeat(start - group[:-1], count) + np.arange(int(group[-1]))
-            code, size = ac_refined(every[own, first : last + 1]) if high else ac_first(low[own, first : last + 1])
-        data, at = pack_rows(code, size)
-        scans.append(with_markers(data, at, group))
+            own, group = bands[components[0]]
+            packed = packed_band(own[:, first : last + 1], high)
+        scans.append(with_markers(*packed, group))
     tables = _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC4, b"\x00" + _DC_TABLE) + _segment(0xC4, b"\x10" + _AC_TABLE) + _segment(0xDD, b"\0\1")
+    heads = [_segment(0xDA, bytes([len(components)]) + b"".join(bytes([c + 1, 0]) for c in components) + bytes([first, last, high << 4 | bit])) for components, first, last, high, bit in SCRIPT]
+    files = [(head, data.tobytes(), at.tolist()) for head, (data, at) in zip(heads, scans, strict=True)]
     out = []
     for i, ((across, down), comment) in enumerate(zip(shapes, comments, strict=True)):
         frame = b"\x08" + (16 * down).to_bytes(2, "big") + (16 * across).to_bytes(2, "big") + b"\x03" + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(SAMPLING))
         parts = [b"\xff\xd8", _segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"), _segment(0xFE, comment), tables, _segment(0xC2, frame)]
-        for (components, first, last, high, bit), (data, at) in zip(SCRIPT, scans, strict=True):
-            parts.append(_segment(0xDA, bytes([len(components)]) + b"".join(bytes([c + 1, 0]) for c in components) + bytes([first, last, high << 4 | bit])))
-            parts.append(data[at[i] : at[i + 1]].tobytes())
+        for head, data, at in files:
+            parts += (head, data[at[i] : at[i + 1]])
         out.append(b"".join(parts) + b"\xff\xd9")
     return out
 
 
-@dataclass
+@dataclass(slots=True)
 class Component:
     ident: int
     h: int
@@ -266,7 +404,7 @@ class Component:
     base: int = 0  # first block among those of all images
 
 
-@dataclass
+@dataclass(slots=True)
 class Scan:
     components: tuple[int, ...]
     first: int
@@ -278,7 +416,7 @@ class Scan:
     data: bytes
 
 
-@dataclass
+@dataclass(slots=True)
 class Image:
     width: int = 0
     height: int = 0
@@ -293,11 +431,32 @@ class Image:
 _NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
 
 
+@lru_cache(64)
+def _quantisers(body: bytes) -> dict[int, np.ndarray]:
+    found = {}
+    while body:
+        wide = body[0] >> 4
+        n = 64 * (1 + wide)
+        found[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.int64)
+        body = body[1 + n :]
+    return found
+
+
+@lru_cache(64)
+def _huffman_tables(body: bytes) -> dict[int, bytes]:
+    found = {}
+    while body:
+        n = 17 + sum(body[1:17])
+        found[body[0]] = body[1:n]
+        body = body[n:]
+    return found
+
+
 def parse(source: bytes) -> Image:
     """Headers and scans of a progressive JPEG."""
     if source[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    image, tables, restart, at = Image(), {}, 0, 2
+    image, tables, places, restart, at = Image(), {}, {}, 0, 2
     while at < len(source):
         if source[at] != 0xFF:
             raise ValueError("a marker is missing")
@@ -313,21 +472,15 @@ def parse(source: bytes) -> Image:
         if marker == 0xFE:
             image.comment = body
         elif marker == 0xDB:
-            while body:
-                wide = body[0] >> 4
-                n = 64 * (1 + wide)
-                image.quantisers[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.int64)
-                body = body[1 + n :]
+            image.quantisers |= _quantisers(body)
         elif marker == 0xC4:
-            while body:
-                n = 17 + sum(body[1:17])
-                tables[body[0]] = bytes(body[1:n])
-                body = body[n:]
+            tables |= _huffman_tables(body)
         elif marker == 0xDD:
             restart = int.from_bytes(body, "big")
         elif marker == 0xC2:
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+            places = {c.ident: k for k, c in reversed(list(enumerate(image.components)))}
             h, v = max(c.h for c in image.components), max(c.v for c in image.components)
             image.mcus = (-(-image.width // (8 * h)), -(-image.height // (8 * v)))
             for c in image.components:
@@ -337,9 +490,11 @@ def parse(source: bytes) -> Image:
             raise ValueError("only progressive Huffman-coded images are decoded")
         elif marker == 0xDA:
             n = body[0]
-            chosen = tuple(next(k for k, c in enumerate(image.components) if c.ident == body[1 + 2 * j]) for j in range(n))
+            chosen = tuple([places[body[1 + 2 * j]] for j in range(n)])
             first, last, bits = body[1 + 2 * n : 4 + 2 * n]
-            own = tuple(tables.get(body[2 + 2 * j] >> 4 if first == 0 else 16 | body[2 + 2 * j] & 15, b"") for j in range(n))
+            if not first <= last < 64:
+                raise ValueError("a scan's band is none")
+            own = tuple([tables.get(body[2 + 2 * j] >> 4 if first == 0 else 16 | body[2 + 2 * j] & 15, b"") for j in range(n)])
             after = _NEXT_MARKER.search(source, at)
             end = after.start() if after else len(source)
             image.scans.append(Scan(chosen, first, last, bits >> 4, bits & 15, restart, own, source[at:end]))
@@ -364,23 +519,43 @@ def lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _lookups[table]
 
 
+_quick: dict[bytes, np.ndarray] = {}
+
+
+def quick_lookup(table: bytes) -> np.ndarray:
+    """For every 16 bits that begin with a symbol of a first scan, and its own bits: value << 12 | run << 5 | length; else 0.
+
+    16 zeros are a run of 15 before a value 0; an end of band is a run over the block.
+    """
+    if table not in _quick:
+        symbol, size = lookup(table)
+        ahead = np.arange(1 << 16)
+        run, n = symbol >> 4, symbol & 15
+        length = size + n
+        held, zeros, end = (n > 0) & (length <= 16), symbol == 0xF0, (symbol == 0) & (size < 16)
+        bits = np.where(held, n, 1)
+        value = np.where(held, extended(ahead >> np.where(held, 16 - length, 0) & (1 << bits) - 1, bits), 0)
+        _quick[table] = np.where(held | zeros | end, value << 12 | np.where(end, 64, run) << 5 | length, 0)
+    return _quick[table]
+
+
 class Bits:
     """Entropy-coded bytes without stuffing, read at many places at once."""
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray):
         """starts: where the images' segments begin in ``raw``. Intervals: image of each, and its first bit."""
-        n = len(raw)
-        full = raw == 0xFF
-        after = np.concatenate((raw[1:], [0])) if n else raw
-        mark = full & (after >= 0xD0) & (after <= 0xD7)
-        drop = mark.copy()
-        drop[1:] |= mark[:-1] | full[:-1] & (raw[1:] == 0)
-        kept = np.concatenate(([0], np.cumsum(~drop)))
-        begin = np.sort(np.concatenate((starts, np.flatnonzero(mark) + 2)))
+        full = np.flatnonzero(raw == 0xFF)
+        after = np.append(raw, np.uint8(1))[full + 1]
+        mark = full[(after >= 0xD0) & (after <= 0xD7)]
+        drop = np.sort(np.concatenate((mark, mark + 1, full[after == 0] + 1)))
+        begin = np.sort(np.concatenate((starts, mark + 2)))
         self.image = np.searchsorted(starts, begin, "right") - 1
-        self.start = kept[begin] * 8
-        data = np.concatenate((raw[~drop], np.full(8, 0xFF, np.uint8))).astype(np.uint32)
-        self.words = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
+        self.start = (begin - np.searchsorted(drop, begin)) * 8
+        kept = np.ones(len(raw), bool)
+        kept[drop] = False
+        data = np.concatenate((raw[kept], np.full(8, 0xFF, np.uint8)))
+        #: The 32 bits from each byte on.
+        self.words = np.ndarray(len(data) - 3, ">u4", data, strides=(1,)).astype(np.uint32)
         self.most = 8 * (len(self.words) - 1)
 
     def peek(self, at: np.ndarray) -> np.ndarray:
@@ -391,19 +566,29 @@ class Bits:
     def take(self, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         return self.peek(at) >> (16 - n)
 
+    def next_bits(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The next n bits from each place, a row for each."""
+        out = np.zeros((len(at), -(-n // 16)), ">u2")
+        for j in range(out.shape[1]):
+            out[:, j] = self.peek(at + 16 * j)
+        return np.unpackbits(out.view(np.uint8), axis=1, count=n)
+
 
 def extended(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(bits < (1 << np.maximum(size - 1, 0)), bits - (1 << size) + 1, bits)
 
 
-def _scan_blocks(image: Image, scan: Scan) -> tuple[np.ndarray, int]:
-    """Blocks of a scan in the order of its data, and how many make up an MCU."""
-    if len(scan.components) == 1:
-        c = image.components[scan.components[0]]
-        return c.base + _single_places(c.across, c.down, c.padded), 1
-    own = [image.components[k] for k in scan.components]
-    places, component = _mcu_scan(*image.mcus, tuple((c.h, c.v, c.padded) for c in own))
-    return places + np.array([c.base for c in own])[component], len(component) // max(1, image.mcus[0] * image.mcus[1])
+def _scan_blocks(images: list[Image], chosen: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Blocks of the images' scans of these components in the order of their data, where each image's begin, and how many make up an MCU."""
+    own = [[x.components[k] for k in chosen] for x in images]
+    if len(chosen) == 1:
+        listed, slots = [c.base + _single_places(c.across, c.down, c.padded) for (c,) in own], 1
+    else:
+        listed, slots = [], sum(c.h * c.v for c in own[0])
+        for x, parts in zip(images, own, strict=True):
+            places, component = _mcu_scan(*x.mcus, tuple([(c.h, c.v, c.padded) for c in parts]))
+            listed.append(places + np.array([c.base for c in parts])[component])
+    return np.concatenate(listed), np.cumsum([0] + [len(b) for b in listed]), slots
 
 
 @lru_cache(512)
@@ -446,12 +631,45 @@ def _decode_dc(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, co
     del done
 
 
+def _decode_blocks(bits: Bits, scan: Scan, rows: np.ndarray, at: np.ndarray, coefficients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's band of each interval, up to a symbol that quick_lookup() lacks; gives the place, and the coefficient it stands at."""
+    quick, words = quick_lookup(scan.tables[0]), bits.words
+    room = 64 + 64 + 1  # what steps over the band lands behind it
+    found = np.zeros(len(rows) * room, np.int16)
+    last_at, last_k = at.copy(), np.full(len(rows), scan.first)
+    live, at, k = np.arange(len(rows)), at.copy(), np.arange(len(rows)) * room + scan.first
+    over = np.arange(len(rows)) * room + scan.last
+    while len(live):
+        ahead = words.take(at >> 3, mode="clip")
+        ahead <<= (at & 7).astype(np.uint32)
+        ahead >>= np.uint32(16)
+        own = quick.take(ahead)
+        at += own & 31
+        k += own >> 5 & 127
+        found[k] = own >> 12
+        k += own != 0
+        stay = (k <= over) & (own != 0)
+        if not stay.all():
+            gone = np.flatnonzero(~stay)
+            last_at[live[gone]], last_k[live[gone]] = at[gone], k[gone] - live[gone] * room
+            live, at, k, over = live[stay], at[stay], k[stay], over[stay]
+    band = found.reshape(len(rows), room)[:, scan.first : scan.last + 1]
+    coefficients[rows, scan.first : scan.last + 1] = band << scan.low
+    return last_at, last_k
+
+
 def _decode_ac(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, count: np.ndarray, coefficients: np.ndarray) -> None:
-    """Intervals of a band's first scan."""
+    """Intervals of a band's first scan: the first block of each by whole symbols, then what is left by their parts."""
     symbol, size = lookup(scan.tables[0])
     live = np.flatnonzero(count > 0)
-    at, k, block = bits.start[live], np.full(len(live), scan.first), first[live]
+    at, block = bits.start[live], first[live]
     end = first[live] + count[live]
+    at, k = _decode_blocks(bits, scan, blocks[block], at, coefficients)
+    full = k > scan.last
+    block = block + full
+    k = np.where(full, scan.first, k)
+    keep = block < end
+    at, k, block, end = at[keep], k[keep], block[keep], end[keep]
     while len(at):
         code = bits.peek(at)
         s = symbol[code]
@@ -474,17 +692,28 @@ def _decode_ac(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, co
             at, k, block, end = at[keep], k[keep], block[keep], end[keep]
 
 
-def _corrected(bits: Bits, at: np.ndarray, rows: np.ndarray, k: np.ndarray, scan: Scan, coefficients: np.ndarray) -> np.ndarray:
-    """Correct all known coefficients from k on; gives the place behind the correction bits."""
+def _corrected(bits: Bits, at: np.ndarray, rows: np.ndarray, k: np.ndarray, scan: Scan, coefficients: np.ndarray, run: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Correct all known coefficients from k on, with ``run`` only up to a place that so many zeros lie before.
+
+    Gives the place behind the correction bits, and the coefficient that was reached.
+    """
     band = coefficients[rows, scan.first : scan.last + 1]
-    known = (band != 0) & (np.arange(scan.first, scan.last + 1) >= k[:, None])
-    place = at[:, None] + np.cumsum(known, axis=1) - 1
-    i, j = np.nonzero(known)
-    bit = bits.take(place[i, j], 1)
-    value = band[i, j].astype(np.int64)
-    fresh = (bit == 1) & ((np.abs(value) >> scan.low) & 1 == 0)
-    coefficients[rows[i], j + scan.first] = value + np.where(fresh, np.sign(value) << scan.low, 0)
-    return at + known.sum(axis=1)
+    column = np.arange(scan.first, scan.last + 1)
+    ahead = column >= k[:, None]
+    known = (band != 0) & ahead
+    reached = np.full(len(rows), scan.last + 1)
+    if run is not None:
+        before = np.cumsum(~known & ahead, axis=1, dtype=np.int8) <= run[:, None]
+        known &= before
+        reached = scan.first + np.count_nonzero(before, axis=1)
+    bit = bits.next_bits(at, band.shape[1])
+    part = np.flatnonzero(~known.all(axis=1))  # elsewhere, every coefficient has its bit in turn
+    if len(part):
+        own = known[part]
+        bit[part] = np.take_along_axis(bit[part], np.maximum(np.cumsum(own, axis=1) - 1, 0), axis=1) & own
+    fresh = bit.view(bool) & ((np.abs(band) >> scan.low) & 1 == 0)
+    coefficients[rows, scan.first : scan.last + 1] = band + fresh * (np.sign(band) << scan.low)
+    return at + np.count_nonzero(known, axis=1), reached
 
 
 def _refine_ac(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, count: np.ndarray, coefficients: np.ndarray) -> None:
@@ -495,11 +724,12 @@ def _refine_ac(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, co
     end = first[live] + count[live]
     run, sign, inside = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.zeros(len(live), bool)
     skip = np.zeros(len(live), np.int64)  # blocks with corrections only
+    turn = 0
     while len(at):
         # Whole blocks of corrections, after an end of band.
         rest = np.flatnonzero(skip > 0)
         if len(rest):
-            at[rest] = _corrected(bits, at[rest], blocks[block[rest]], k[rest], scan, coefficients)
+            at[rest], _ = _corrected(bits, at[rest], blocks[block[rest]], k[rest], scan, coefficients)
             skip[rest] -= 1
             block[rest] += 1
             k[rest] = scan.first
@@ -519,9 +749,18 @@ def _refine_ac(bits: Bits, scan: Scan, blocks: np.ndarray, first: np.ndarray, co
             at[fresh] += new
             run[fresh] = r
             inside[fresh] = ~over
-        # One coefficient on the way to the symbol's place.
         way = np.flatnonzero(inside)
-        if len(way):
+        turn += 1
+        if len(way) and turn <= 8:  # all on the way to the symbol's place
+            row = blocks[block[way]]
+            at[way], place = _corrected(bits, at[way], row, k[way], scan, coefficients, run[way])
+            here = place <= scan.last
+            coefficients[row[here], place[here]] = sign[way[here]] << scan.low
+            past = place >= scan.last
+            inside[way] = False
+            block[way] += past
+            k[way] = np.where(past, scan.first, place + 1)
+        elif len(way):  # one coefficient: where blocks have many new ones, that is less than a band for each
             row = blocks[block[way]]
             value = coefficients[row, k[way]].astype(np.int64)
             known = value != 0
@@ -549,24 +788,23 @@ def decode_coefficients(sources: list[bytes]) -> tuple[list[Image], np.ndarray]:
         for c in image.components:
             c.base = total
             total += c.padded * image.mcus[1] * c.v
-    coefficients = np.zeros((total, 64), np.int32)
-    for turn in range(max((len(x.scans) for x in images), default=0)):
-        groups: dict[tuple, list[Image]] = {}
-        for image in images:
-            if turn < len(image.scans):
-                s = image.scans[turn]
-                groups.setdefault((s.components, s.first, s.last, s.high, s.low, s.tables, tuple((image.components[c].h, image.components[c].v) for c in s.components)), []).append(image)
-        for own in groups.values():
-            scan = own[0].scans[turn]
+    coefficients = np.zeros((total, 64), np.int16)
+    # Images with the same scans go together, scan by scan.
+    groups: dict[tuple, list[Image]] = {}
+    for image in images:
+        script = tuple([(s.components, s.first, s.last, s.high, s.low, s.restart, s.tables) for s in image.scans])
+        groups.setdefault((script, tuple([(c.h, c.v) for c in image.components])), []).append(image)
+    for own in groups.values():
+        known: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, int]] = {}
+        for turn, scan in enumerate(own[0].scans):
             data = [x.scans[turn].data for x in own]
             starts = np.cumsum([0] + [len(d) for d in data])
             bits = Bits(np.frombuffer(b"".join(data), np.uint8), starts[:-1])
-            listed = [_scan_blocks(x, x.scans[turn]) for x in own]
-            slots = listed[0][1]
-            blocks = np.concatenate([b for b, _ in listed])
-            edge = np.cumsum([0] + [len(b) for b, _ in listed])
+            if scan.components not in known:
+                known[scan.components] = _scan_blocks(own, scan.components)
+            blocks, edge, slots = known[scan.components]
             # An interval has ``restart`` MCUs, the last of an image what is left.
-            each = np.array([x.scans[turn].restart * slots or len(b) for x, (b, _) in zip(own, listed, strict=True)])
+            each = np.full(len(own), scan.restart * slots) if scan.restart else np.diff(edge)
             index = np.arange(len(bits.image)) - np.searchsorted(bits.image, bits.image)
             first = edge[bits.image] + index * each[bits.image]
             count = np.clip(edge[bits.image + 1] - first, 0, each[bits.image])
@@ -590,28 +828,74 @@ def _basis() -> np.ndarray:
 
 
 _BASIS = _basis()
+#: Whole numbers are exact in single precision below 2**24: sums of coefficients up to this one are.
+_SINGLE, _SINGLE_MOST = _BASIS.astype(np.float32), int(((1 << 24) - 8192) / np.abs(_BASIS).sum(axis=0).max())
 
 
 def samples(coefficients: np.ndarray, quantiser: np.ndarray) -> np.ndarray:
     """8-bit samples of blocks: an array of (block, 8, 8)."""
-    out = np.floor(((coefficients * quantiser).astype(np.float64) @ _BASIS + 4096) / 8192) + 128
+    scaled = coefficients if (quantiser == 1).all() else coefficients * quantiser
+    if scaled.max(initial=0) <= _SINGLE_MOST and scaled.min(initial=0) >= -_SINGLE_MOST:
+        out = ((scaled.astype(np.float32) @ _SINGLE).astype(np.int32) + 4096 >> 13) + 128
+    else:
+        out = np.floor((scaled.astype(np.float64) @ _BASIS + 4096) / 8192) + 128
     return np.clip(out, 0, 255).astype(np.uint8).reshape(-1, 8, 8)
 
 
+@dataclass(slots=True)
+class Strip:
+    """Images of one height side by side: which, the first column and the width of each, and planes of 8-bit red, green and blue."""
+
+    images: list[int]
+    left: list[int]
+    width: list[int]
+    planes: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _spread(plane: np.ndarray, down: int, across: int) -> np.ndarray:
+    """Every sample repeated."""
+    if down == across == 1:
+        return plane
+    out = np.empty((plane.shape[0] * down, plane.shape[1] * across), plane.dtype)
+    for j in range(down):
+        for i in range(across):
+            out[j::down, i::across] = plane
+    return out
+
+
+def rgb_strips(images: list[Image], coefficients: np.ndarray) -> Iterator[Strip]:
+    """All images in RGB: samples, chroma repeated to full resolution, colours converted. What is equal in height and sampling goes together."""
+    groups: dict[tuple, list[int]] = {}
+    for i, image in enumerate(images):
+        groups.setdefault((image.height, image.mcus[1], tuple([(c.h, c.v, image.quantisers[c.table].tobytes()) for c in image.components])), []).append(i)
+    for (height, down, _), own in groups.items():
+        parts = [images[i] for i in own]
+        h, v = max(c.h for c in parts[0].components), max(c.v for c in parts[0].components)
+        planes = []
+        for k, c in enumerate(parts[0].components[:3]):
+            padded = np.array([x.components[k].padded for x in parts])
+            ends = np.cumsum(padded)
+            rows, across = down * c.v, int(ends[-1])
+            base = np.array([x.components[k].base for x in parts]) - (ends - padded)
+            blocks = np.repeat(base, padded) + np.arange(across) + np.arange(rows)[:, None] * np.repeat(padded, padded)
+            found = samples(coefficients[blocks.ravel()], parts[0].quantisers[c.table])
+            planes.append(found.reshape(rows, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * across))
+        steps = [(v // c.v, h // c.h) for c in parts[0].components]
+        y = _spread(planes[0], *steps[0])[:height]
+        if len(planes) < 3:
+            rgb = (y, y, y)
+        else:
+            same = steps[1] == steps[2]  # the conversion of what both have, before it is repeated
+            b, r = (p.astype(np.int32) - 128 for p in (planes[1:] if same else map(_spread, planes[1:], *zip(*steps[1:3], strict=True))))
+            # The conversion of JFIF, times 2**16.
+            shifts = (91881 * r + 32768 >> 16, -(22554 * b + 46802 * r + 32768 >> 16), 116130 * b + 32768 >> 16)
+            y = y.astype(np.int16)
+            rgb = tuple(np.clip(y + _spread(x.astype(np.int16), *(steps[1] if same else (1, 1)))[:height], 0, 255).astype(np.uint8) for x in shifts)
+        left = np.cumsum([0] + [8 * h * x.mcus[0] for x in parts]).tolist()
+        yield Strip(own, left[:-1], [x.width for x in parts], rgb)
+
+
 def rgb_tensor(image: Image, coefficients: np.ndarray) -> np.ndarray:
-    """The image as (height, width, 3) of 8-bit RGB: samples, chroma repeated to full resolution, colours converted."""
-    planes = []
-    h, v = max(c.h for c in image.components), max(c.v for c in image.components)
-    for c in image.components:
-        rows = image.mcus[1] * c.v
-        own = samples(coefficients[c.base : c.base + rows * c.padded], image.quantisers[c.table])
-        plane = own.reshape(rows, c.padded, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * c.padded)
-        if c.v < v or c.h < h:
-            plane = plane.repeat(v // c.v, axis=0).repeat(h // c.h, axis=1)
-        planes.append(plane[: image.height, : image.width].astype(np.int32))
-    if len(planes) < 3:
-        return np.stack([planes[0]] * 3, axis=2).astype(np.uint8)
-    y, b, r = planes[0], planes[1] - 128, planes[2] - 128
-    # The conversion of JFIF, times 2**16.
-    red, green, blue = y + (91881 * r + 32768 >> 16), y - (22554 * b + 46802 * r + 32768 >> 16), y + (116130 * b + 32768 >> 16)
-    return np.clip(np.stack([red, green, blue], axis=2), 0, 255).astype(np.uint8)
+    """The image as (height, width, 3) of 8-bit RGB."""
+    strip = next(rgb_strips([image], coefficients))
+    return np.stack([p[:, : image.width] for p in strip.planes], axis=2)

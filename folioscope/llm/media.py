@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, one_thread, read
-from .jpeg import decode_coefficients, encode_images, rgb_tensor
+from .jpeg import Image, decode_coefficients, encode_images, rgb_strips
 
 #: Bytes of text, and of media, that are coded together.
 BATCH_BYTES = 1 << 20
@@ -32,7 +32,7 @@ def payload_of(data: np.ndarray) -> np.ndarray:
 
 
 def media_of(payloads: list[np.ndarray]) -> list[bytes]:
-    return encode_images([p.reshape(-1, UNIT).astype(np.int64) - 128 for p in payloads], [b"payload %d" % len(p) for p in payloads])
+    return encode_images([(p.reshape(-1, UNIT) ^ np.uint8(128)).view(np.int8) for p in payloads], [b"payload %d" % len(p) for p in payloads])
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,40 +52,60 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(work, f"id {kind}, n_bytes bigint, media binary")
 
 
-def feature_of(tensor: np.ndarray) -> str:
-    """Size, channel means and mean steps between neighbours of a tensor, in whole thousandths."""
-    height, width, _ = tensor.shape
-    wide = tensor.astype(np.int64)
-    means = [int(1000 * wide[:, :, c].sum() // (height * width)) for c in range(3)]
-    luma = wide.sum(axis=2)
-    across, down = np.abs(np.diff(luma, axis=1)).sum(), np.abs(np.diff(luma, axis=0)).sum()
-    return f"{width}x{height} rgb {means[0]} {means[1]} {means[2]} steps {int(1000 * across // (height * width))} {int(1000 * down // (height * width))}"
+def tensors_of(images: list[Image], coefficients: np.ndarray) -> list[np.ndarray]:
+    """The RGB tensor of each image: (height, width, 3)."""
+    found = {}
+    for strip in rgb_strips(images, coefficients):
+        for i, left, width in zip(strip.images, strip.left, strip.width, strict=True):
+            found[i] = np.stack([p[:, left : left + width] for p in strip.planes], axis=2)
+    return [found[i] for i in range(len(images))]
+
+
+def features_of(images: list[Image], coefficients: np.ndarray) -> list[str]:
+    """Size, channel means and mean steps between neighbours of each image's tensor, in whole thousandths."""
+    found = {}
+    for strip in rgb_strips(images, coefficients):
+        luma = np.add(strip.planes[0], strip.planes[1], dtype=np.int16)
+        luma += strip.planes[2]
+        across, down = np.abs(luma[:, 1:] - luma[:, :-1]), np.abs(luma[1:] - luma[:-1])
+        # Sums over all columns before each: an image's is a difference of two.
+        sums = [np.concatenate(([0], np.cumsum(x.sum(axis=0, dtype=np.int64)))).tolist() for x in (*strip.planes, across, down)]
+        height = len(luma)
+        for i, left, width in zip(strip.images, strip.left, strip.width, strict=True):
+            ends = [left + width] * 3 + [left + max(0, width - 1), left + width]
+            a = [1000 * (x[end] - x[left]) // max(1, height * width) for x, end in zip(sums, ends, strict=True)]
+            found[i] = f"{width}x{height} rgb {a[0]} {a[1]} {a[2]} steps {a[3]} {a[4]}"
+    return [found[i] for i in range(len(images))]
 
 
 #: What decoding raises on damaged files.
 DAMAGE = (ArithmeticError, LookupError, TypeError, ValueError)
 
 
-def _read(media: list[bytes | None]) -> Iterator[tuple[bytes, np.ndarray] | None]:
-    """Payload and tensor of each image; nothing for nulls and for files that cannot be decoded."""
+def _decoded(media: list[bytes], seen: Callable[[list[Image], np.ndarray], list]) -> list[tuple[bytes, object]]:
+    images, coefficients = decode_coefficients(media)
+    out = []
+    for image, view in zip(images, seen(images, coefficients), strict=True):
+        n = int(image.comment.removeprefix(b"payload ")) // UNIT if image.comment.startswith(b"payload ") else 0
+        base = image.components[0].base
+        out.append(((coefficients[base : base + n].astype(np.uint8) ^ np.uint8(128)).tobytes(), view))
+    return out
+
+
+def _read(media: list[bytes | None], seen: Callable[[list[Image], np.ndarray], list] = tensors_of) -> Iterator[tuple[bytes, object] | None]:
+    """Payload, and tensor or feature, of each image; nothing for nulls and for files that cannot be decoded."""
     known = [m for m in media if m is not None]
     try:
-        whole = decode_coefficients(known) if known else None
+        whole = iter(_decoded(known, seen) if known else [])
     except DAMAGE:
         whole = None  # one by one, then
-    at = 0
     for m in media:
         found = None
         if m is not None:
             try:
-                images, coefficients = whole or decode_coefficients([m])
-                image = images[at if whole else 0]
-                n = int(image.comment.removeprefix(b"payload ")) // UNIT if image.comment.startswith(b"payload ") else 0
-                base = image.components[0].base
-                found = (coefficients[base : base + n] + 128).astype(np.uint8).tobytes(), rgb_tensor(image, coefficients)
+                found = next(whole) if whole is not None else _decoded([m], seen)[0]
             except DAMAGE:
                 found = None
-            at += 1
         yield found
 
 
@@ -134,7 +154,7 @@ def media_features(media: DataFrame, id_col: str = "id") -> DataFrame:
         one_thread()
         for batch in batches:
             for rows, own in _groups(batch, 2):
-                found = [(None,) * 4 if x is None else (len(x[0]), hashlib.sha256(x[0]).hexdigest(), zlib.crc32(x[0][-UNIT:]), feature_of(x[1])) for x in _read(own)]
+                found = [(None,) * 4 if x is None else (len(x[0]), hashlib.sha256(x[0]).hexdigest(), zlib.crc32(x[0][-UNIT:]), x[1]) for x in _read(own, features_of)]
                 size, digest, tail, feature = (list(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(tail, pa.int64()), pa.array([None if m is None else len(m) for m in own], pa.int64()), pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in own], pa.string()), pa.array(feature, pa.string())],
